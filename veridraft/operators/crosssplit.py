@@ -1,0 +1,110 @@
+"""Records held out for evaluation that also stand, word for word or nearly, in the training split.
+
+Winnowing fingerprints of the held-out texts are joined with those of the training texts (with
+the lossless bit filter of ``wordsets`` in the join, so a phrase of a whole template costs no
+output); the seeds of each surviving pair are chained in line and extended by alignment, which
+gives the coverage of the held-out record; the overlap of the whole word sets decides.
+
+Edge cases: records without split, or whose texts are null, empty or under eight words, are never
+concerned; repeated rows and repeated texts count once (texts are compared as distinct classes);
+empty tables give empty results; other columns are not looked at.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.canonical import consistent_form, words
+from ..runtime import cut, once
+from .winnowing import fingerprints, gram_sketch
+from .wordsets import MIN_WORDS, OVERLAP, at_least, may_overlap, with_set_key, word_set
+
+TRAIN, HELD_OUT = "train", ("val", "test")
+
+
+def chain_and_extend(a: list, b: list, seeds: list) -> int:
+    """Words of ``a`` covered by the best chain of collinear seeds, extended word by word.
+
+    seeds: (place in a, place in b). The gaps between chained seeds are filled by exact matches
+    to the left and right (greedy alignment without shift).
+    """
+    seeds = sorted(set(seeds))
+    if not seeds:
+        return 0
+    length, back = [1] * len(seeds), [-1] * len(seeds)
+    for i, (x, y) in enumerate(seeds):
+        for j in range(max(0, i - 200), i):
+            if seeds[j][0] < x and seeds[j][1] < y and length[j] + 1 > length[i]:
+                length[i], back[i] = length[j] + 1, j
+    i = int(np.argmax(length))
+    chain = []
+    while i >= 0:
+        chain.append(seeds[i])
+        i = back[i]
+    covered: set = set()
+    for x, y in chain:
+        for step in (1, -1):
+            i, j = (x, y) if step == 1 else (x - 1, y - 1)
+            while 0 <= i < len(a) and 0 <= j < len(b) and a[i] == b[j]:
+                covered.add(i)
+                i, j = i + step, j + step
+    return len(covered)
+
+
+def prepare(records: DataFrame) -> DataFrame:
+    """records: realm, rid, split, source, text. Adds the keys; keeps records of at least eight words."""
+    formed = records.select("realm", "rid", "split", "source", once(words(consistent_form(F.col("text"))), "_w"))
+    seqs = formed.where(F.size("_w") >= MIN_WORDS).select("realm", "rid", "split", "source", once(F.transform("_w", lambda w: F.xxhash64(w)), "seq"))
+    sets = seqs.select("*", once(F.array_sort(F.array_distinct("seq")), "wset"))
+    return with_set_key(sets, realm=F.col("realm")).withColumn("c1", F.xxhash64("realm", "seq"))
+
+
+class CrossSplitOverlap:
+    """Cross-split overlaps of ``records`` (realm, rid, split, source, text); realms are kept apart."""
+
+    def __init__(self, records: DataFrame, overlap: float = OVERLAP):
+        self.rows = cut(prepare(records.where(F.col("split").isin(TRAIN, *HELD_OUT))))
+        is_train = F.col("split") == TRAIN
+        #: distinct texts by side; c1 is the key of a text, k1 and k2 of its word set
+        self.texts = self.rows.groupBy("c1").agg(
+            *[F.first(c).alias(c) for c in ("realm", "k1", "k2", "bits", "size", "seq")], F.bool_or(is_train).alias("train"), F.bool_or(~is_train).alias("held")
+        )
+        sketch = gram_sketch(self.rows)
+        marks = fingerprints(self.texts, sketch, ["c1", "realm", "k1", "bits", "size", "train", "held"])
+        rows = marks.select("c1", "realm", "k1", "bits", "size", "train", "held", F.explode("marks").alias("m")).select("*", F.col("m.gram").alias("gram"), F.col("m.place").alias("place"))
+        held, train = rows.where("held").drop("train", "held", "m").alias("x"), rows.where("train").drop("train", "held", "m").alias("y")
+        seeds = (
+            held.join(train, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.realm") == F.col("y.realm")) & (F.col("x.k1") != F.col("y.k1")) & may_overlap("x", "y", overlap))
+            .groupBy(F.col("x.c1").alias("a"), F.col("y.c1").alias("b"))
+            .agg(F.collect_set(F.struct(F.col("x.place").alias("i"), F.col("y.place").alias("j"))).alias("seeds"))
+        )
+        texts = self.rows.select("c1", "seq", "wset").dropDuplicates(["c1"])
+        x, y = texts.alias("x"), texts.alias("y")
+        near = (
+            seeds.join(x, F.col("a") == F.col("x.c1"))
+            .select("a", "b", "seeds", F.col("x.seq").alias("aseq"), F.col("x.wset").alias("aset"))
+            .join(y, F.col("b") == F.col("y.c1"))
+            .where(at_least(F.col("aset"), F.col("y.wset"), overlap))
+            .select("a", "b", "seeds", "aseq", F.col("y.seq").alias("bseq"))
+        )
+        self.pairs = cut(near.mapInArrow(_coverage, "a bigint, b bigint, coverage double"))
+
+    def concerned(self) -> DataFrame:
+        """realm, rid, split, source, coverage of each held-out record with a training record that overlaps."""
+        equal = self.rows.groupBy("k1", "k2").agg(F.bool_or(F.col("split") == TRAIN).alias("t"), F.bool_or(F.col("split") != TRAIN).alias("h")).where("t and h").select("k1", "k2")
+        held = self.rows.where(F.col("split") != TRAIN).select("realm", "rid", "split", "source", "k1", "k2", "c1")
+        by_set = held.join(equal, ["k1", "k2"], "left_semi").select("realm", "rid", "split", "source", F.lit(1.0).alias("coverage"))
+        best = self.pairs.groupBy(F.col("a").alias("c1")).agg(F.max("coverage").alias("coverage"))
+        by_seed = held.join(best, "c1").select("realm", "rid", "split", "source", "coverage")
+        return by_set.unionByName(by_seed).groupBy("realm", "rid").agg(F.first("split").alias("split"), F.first("source").alias("source"), F.max("coverage").alias("coverage"))
+
+
+def _coverage(batches):
+    for batch in batches:
+        a, b = batch.column("aseq").to_pylist(), batch.column("bseq").to_pylist()
+        seeds = batch.column("seeds").to_pylist()
+        share = [chain_and_extend(x, y, [(s["i"], s["j"]) for s in z]) / len(x) for x, y, z in zip(a, b, seeds)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], names=["a", "b", "coverage"])

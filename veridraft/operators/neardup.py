@@ -1,0 +1,129 @@
+"""Near-duplicate texts: all pairs of word overlap >= 0.8, and the groups they form.
+
+Rows of the same word set are one class, so copies are never compared with one another. Classes
+are signed with BagMinHash (word weight: 1 + log2 of rows / rows with the word, from a count-min
+sketch over all rows, so that words shared by a whole template hardly count), banded, joined on
+the band key with a lossless bit filter in the join, and verified on the whole sets.
+
+Edge cases: null, empty and short texts (under eight words) take part in no pair; rows repeated
+whole count once; ties do not arise (pairs are ordered by id); an empty table gives an empty
+result; other columns of the input are not looked at.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.canonical import consistent_form, words
+from ..runtime import bucket_counts, cut, once, sketch_count, spread
+from .bagminhash import DEPTH, Signer, band_keys
+from .components import connected_components
+from .wordsets import MIN_WORDS, OVERLAP, at_least, may_overlap, with_set_key, word_set
+
+BANDS, ROWS = 24, 4  # chance to miss a pair of weighted overlap 0.7: (1 - 0.7**4) ** 24 = 0.1 %
+
+
+def with_word_sets(df: DataFrame, text: str, keep: list[str], min_words: int = MIN_WORDS) -> DataFrame:
+    """The rows of at least ``min_words`` words: keep, fkey (of the consistent form), wset, k1, k2, bits, size."""
+    formed = df.select(*keep, once(consistent_form(F.col(text)), "_form"))
+    worded = formed.select(*keep, F.xxhash64("_form").alias("fkey"), once(words(F.col("_form")), "_words"))
+    return with_set_key(worded.where(F.size("_words") >= min_words).select(*keep, "fkey", once(word_set(F.col("_words")), "wset")))
+
+
+def word_weights(rows: DataFrame) -> tuple:
+    """Sketch of the number of rows with each word, and the number of rows."""
+    sketch = bucket_counts(rows.select(F.explode("wset").alias("h")), "h")
+    return sketch, max(1, rows.count())
+
+
+def signed_bands(classes: DataFrame, sketch, total: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """k1, bits, size and the band keys of every class."""
+    held = classes.sparkSession.sparkContext.broadcast(sketch)  # 1 MB whatever the data
+
+    def run(batches):
+        def weight_of(h):
+            seen = np.maximum(1, sketch_count(held.value, h))
+            return np.clip(np.rint(1 + np.log2(np.maximum(1.0, total / seen))), 1, 1 << DEPTH).astype(np.int64)
+
+        signer = Signer(weight_of, bands * rows)
+        for batch in batches:
+            sets = batch.column("wset")
+            if not batch.num_rows:
+                continue
+            offsets = sets.offsets.to_numpy().astype(np.int64)
+            values = sets.values.to_numpy()
+            keys = band_keys(signer.sign(values, offsets), bands, rows)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("bits"), batch.column("size"), listed], names=["k1", "bits", "size", "keys"])
+
+    return classes.select("k1", "bits", "size", "wset").mapInArrow(run, "k1 bigint, bits bigint, size int, keys array<bigint>")
+
+
+def candidate_pairs(signed: DataFrame, overlap: float = OVERLAP) -> DataFrame:
+    """Distinct (a, b), a < b, of classes that share a band and may overlap enough."""
+    rows = signed.select(F.explode("keys").alias("band"), "k1", "bits", "size")
+    return (
+        rows.alias("x")
+        .join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.k1") < F.col("y.k1")) & may_overlap("x", "y", overlap))
+        .select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b"))
+        .distinct()
+    )
+
+
+def verified_pairs(pairs: DataFrame, classes: DataFrame, overlap: float = OVERLAP) -> DataFrame:
+    """The candidate pairs whose whole sets overlap enough: a1, a2, b1, b2 (class keys)."""
+    x, y = classes.alias("x"), classes.alias("y")
+    return (
+        pairs.join(x, F.col("a") == F.col("x.k1"))
+        .select("b", F.col("x.k1").alias("a1"), F.col("x.k2").alias("a2"), F.col("x.wset").alias("aset"))
+        .join(y, F.col("b") == F.col("y.k1"))
+        .where(at_least(F.col("aset"), F.col("y.wset"), overlap))
+        .select("a1", "a2", F.col("y.k1").alias("b1"), F.col("y.k2").alias("b2"))
+    )
+
+
+class NearDuplicates:
+    """Near-duplicate search over ``df``; ``keys`` name the row (sentence) and its owner (document)."""
+
+    def __init__(self, df: DataFrame, text: str, row_id: str, owner: str, overlap: float = OVERLAP):
+        source = df.select(F.col(row_id).alias("rid"), F.col(owner).alias("owner"), F.col(text).alias("text"))
+        self.rows = cut(with_word_sets(spread(source), "text", ["rid", "owner"]))
+        self.classes = self.rows.groupBy("k1", "k2").agg(F.first("wset").alias("wset"), F.first("bits").alias("bits"), F.first("size").alias("size"))
+        sketch, total = word_weights(self.rows)
+        pairs = candidate_pairs(signed_bands(self.classes, sketch, total), overlap)
+        self.links = cut(verified_pairs(pairs, self.rows.select("k1", "k2", "wset").dropDuplicates(["k1", "k2"]), overlap))
+
+    def row_pairs(self) -> DataFrame:
+        """id_a < id_b of different rows and owners whose texts overlap enough but differ in form."""
+        rows = self.rows.select("rid", "owner", "fkey", "k1", "k2")
+        x, y = rows.alias("x"), rows.alias("y")
+        across = (
+            self.links.join(x, (F.col("a1") == F.col("x.k1")) & (F.col("a2") == F.col("x.k2")))
+            .join(y, (F.col("b1") == F.col("y.k1")) & (F.col("b2") == F.col("y.k2")))
+            .where((F.col("x.rid") != F.col("y.rid")) & (F.col("x.owner") != F.col("y.owner")))
+        )
+        mixed = rows.groupBy("k1", "k2").agg(F.min("fkey").alias("lo"), F.max("fkey").alias("hi")).where("lo <> hi").select("k1", "k2")
+        within = rows.join(mixed, ["k1", "k2"], "left_semi")
+        v, w = within.alias("x"), within.alias("y")
+        same = v.join(
+            w,
+            (F.col("x.k1") == F.col("y.k1")) & (F.col("x.k2") == F.col("y.k2")) & (F.col("x.fkey") != F.col("y.fkey")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.owner") != F.col("y.owner")),
+        )
+        ends = [F.least("x.rid", "y.rid").alias("id_a"), F.greatest("x.rid", "y.rid").alias("id_b")]
+        return across.select(*ends).unionByName(same.select(*ends)).distinct()
+
+    def groups(self) -> DataFrame:
+        """Every row with at least eight words: rid, owner, class_id, links (its class's links to other classes) and group_id."""
+        ends = self.links.select(F.col("a1").alias("k1"), F.col("b1").alias("to")).unionByName(self.links.select(F.col("b1").alias("k1"), F.col("a1").alias("to")))
+        degree = ends.groupBy("k1").agg(F.count(F.lit(1)).alias("links"))
+        found = connected_components(self.links.select(F.col("a1").alias("src"), F.col("b1").alias("dst"))).select(F.col("node").alias("k1"), F.col("component").alias("group_id"))
+        return (
+            self.rows.select("rid", "owner", F.col("k1"))
+            .distinct()
+            .join(degree, "k1", "left")
+            .join(found, "k1", "left")
+            .select("rid", "owner", F.col("k1").alias("class_id"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), F.coalesce("group_id", "k1").alias("group_id"))
+        )

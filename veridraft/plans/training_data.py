@@ -1,0 +1,85 @@
+"""Queries of the training-data operators that live in the core: p1, p5 and p7."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.crosssplit import CrossSplitOverlap
+from ..operators.grouping import GroupedSplit, document_groups
+from ..operators.neardup import NearDuplicates
+from ..runtime import spread, table
+from ..sources.corpus import segmented
+
+REALMS = ("sentence", "rewrite_pairs")
+
+
+def _p1(spark: SparkSession, d: str) -> CrossSplitOverlap:
+    split = table(spark, d, "classifier_split").select("sentence_id", F.lower(F.trim("split_name")).alias("split"))
+    sentences = spread(segmented(spark, d).select("sentence_id", "doc_id", "text")).join(split, "sentence_id").dropDuplicates(["sentence_id"])
+    pairs = spread(table(spark, d, "rewrite_pairs").select("pair_id", "source", "source_text", "split_name"))
+    return CrossSplitOverlap(
+        sentences.select(F.lit(0).alias("realm"), F.col("sentence_id").alias("rid"), "split", F.col("doc_id").alias("source"), "text").unionByName(
+            pairs.select(F.lit(1).alias("realm"), F.col("pair_id").cast("string").alias("rid"), F.lower(F.trim("split_name")).alias("split"), "source", F.col("source_text").alias("text"))
+        )
+    )
+
+
+def _realm():
+    return F.when(F.col("realm") == 0, REALMS[0]).otherwise(REALMS[1])
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p1(spark, d).concerned().select(_realm().alias("rec_table"), F.col("rid").alias("rec_id"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out records with an overlap, and their mean coverage, per table, split and source."""
+    found = _p1(spark, d).concerned()
+    names = table(spark, d, "source_document").where("doc_id is not null").groupBy("doc_id").agg(F.min(F.lower(F.trim("source"))).alias("named"))
+    return (
+        found.join(names, (F.col("realm") == 0) & (F.col("source") == F.col("doc_id")), "left")
+        .select(_realm().alias("rec_table"), "split", F.when(F.col("realm") == 0, F.col("named")).otherwise(F.col("source")).alias("source"), "coverage")
+        .groupBy("rec_table", "split", "source")
+        .agg(F.count(F.lit(1)).alias("records"), F.round(F.avg("coverage"), 4).alias("mean_coverage"))
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = document_groups(table(spark, d, "sentence"), "sentence_id", "doc_id")
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("group_key"))
+
+
+def _p5(spark: SparkSession, d: str) -> GroupedSplit:
+    return GroupedSplit(table(spark, d, "sentence"), table(spark, d, "sentence_trope_label"), table(spark, d, "split_plan"))
+
+
+def p5_assignment(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).assignment()
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences and documents of each split, and the share beside the wanted one."""
+    rows = _p5(spark, d).assignment()
+    total = rows.select("sentence_id").distinct().count()
+    return (
+        rows.groupBy("split_name")
+        .agg(F.countDistinct("sentence_id").alias("sentences"), F.countDistinct("doc_id").alias("documents"))
+        .join(F.broadcast(table(spark, d, "split_plan")), "split_name")
+        .select("split_name", "sentences", "documents", F.round(F.col("sentences") / F.lit(max(1, total)), 4).alias("share"), "target_share")
+    )
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    found = NearDuplicates(segmented(spark, d), "text", "sentence_id", "doc_id").row_pairs()
+    return found.select(F.col("id_a").alias("sentence_id_a"), F.col("id_b").alias("sentence_id_b"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    found = NearDuplicates(segmented(spark, d), "text", "sentence_id", "doc_id").groups()
+    return found.select(F.col("rid").alias("sentence_id"), F.col("owner").alias("doc_id"), "class_id", "links", "group_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p5_found, p5_assignment, p5_shares, p7_found, p7_groups)}
+
+ORACLES: dict[str, str] = {}
