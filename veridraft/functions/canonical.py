@@ -38,7 +38,7 @@ FROM_LATIN = {
     "G": {p[1]: p[0] for p in GREEK_LATIN},
 }
 _SAME_SHAPE_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>")
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"[^\W_](?:[^\W_]|[\u0300-\u036f])*")
 _BLANKS = re.compile(r" +")
 
 # A character that may have another consistent form, alone or beside others. The rest is its own.
@@ -98,13 +98,13 @@ def canonical_text(text: str) -> str:
     """The consistent form of one text, in plain Python."""
     if not _ODD.search(text):
         return text
-    t = unicodedata.normalize("NFC", "".join(map(plain_char, text)))
+    t = unicodedata.normalize("NFD", "".join(map(plain_char, text)))
     t = _BLANKS.sub(" ", t).strip(" ")
     if t.isascii():
         return t
     scripts = [script_of(c) for c in t]
     if not {"C", "G"} & set(scripts):
-        return t
+        return unicodedata.normalize("NFC", t)
     anchors = Counter(s for c, s in zip(t, scripts) if s and is_anchor(c, s))
     main = max("LCG", key=lambda s: anchors[s])
 
@@ -118,7 +118,7 @@ def canonical_text(text: str) -> str:
         to = max(fits, key=lambda s: (s == main, letters[s])) if fits else max("LCG", key=lambda s: (own[s], letters[s], s == main))
         return "".join(in_script(c, s, to) for c, s in zip(w, ss))
 
-    return _WORD.sub(word, t)
+    return unicodedata.normalize("NFC", _WORD.sub(word, t))
 
 
 @F.pandas_udf(StringType())

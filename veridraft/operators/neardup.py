@@ -14,67 +14,82 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import consistent_form, words
-from ..runtime import bucket_counts, cut, once, sketch_count, spread
+from ..runtime import bucket_counts, cut, once, sketch_count, small_or_plain, spread
 from .bagminhash import DEPTH, Signer, band_keys
 from .components import connected_components
-from .wordsets import MIN_WORDS, OVERLAP, at_least, may_overlap, with_set_key, word_set
+from .wordsets import MIN_WORDS, OVERLAP, at_least, hash_again, images_may_overlap, narrow_set, set_image, spread_hash, word_set
 
+SEEN = 1_000_000
 BANDS, ROWS = 24, 4  # chance to miss a pair of weighted overlap 0.7: (1 - 0.7**4) ** 24 = 0.1 %
 
 
 def with_word_sets(df: DataFrame, text: str, keep: list[str], min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of at least ``min_words`` words: keep, fkey (of the consistent form), wset, k1, k2, bits, size."""
+    """The rows of at least ``min_words`` words: keep, fkey (of the consistent form), k1, k2 (of the word set), wset."""
     formed = df.select(*keep, once(consistent_form(F.col(text)), "_form"))
     worded = formed.select(*keep, F.xxhash64("_form").alias("fkey"), once(words(F.col("_form")), "_words"))
-    return with_set_key(worded.where(F.size("_words") >= min_words).select(*keep, "fkey", once(word_set(F.col("_words")), "wset")))
+    sets = worded.where(F.size("_words") >= min_words).select(*keep, "fkey", once(word_set(F.col("_words")), "_set"))
+    return sets.select(*keep, "fkey", F.xxhash64(F.lit(0), "_set").alias("k1"), F.xxhash64("_set", F.lit(0)).alias("k2"), narrow_set(F.col("_set")).alias("wset"))
 
 
 def word_weights(rows: DataFrame) -> tuple:
     """Sketch of the number of rows with each word, and the number of rows."""
-    sketch = bucket_counts(rows.select(F.explode("wset").alias("h")), "h")
+    sketch = bucket_counts(rows.select(F.explode("wset").alias("h")).select(spread_hash(F.col("h")).alias("h")), "h")
     return sketch, max(1, rows.count())
 
 
-def signed_bands(classes: DataFrame, sketch, total: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """k1, bits, size and the band keys of every class."""
-    held = classes.sparkSession.sparkContext.broadcast(sketch)  # 1 MB whatever the data
+def signed_bands(rows: DataFrame, sketch, total: int, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
+    """k1, image (bits and size of the set) and the band keys of every class.
+
+    A class is signed once in a task, however often it stands there (the task remembers up to
+    ``SEEN`` classes); the few copies left from other tasks never meet, as only k1 < k1 is joined.
+    """
+    held = rows.sparkSession.sparkContext.broadcast(sketch)  # 1 MB whatever the data
 
     def run(batches):
         def weight_of(h):
-            seen = np.maximum(1, sketch_count(held.value, h))
+            seen = np.maximum(1, sketch_count(held.value, hash_again(h)))
             return np.clip(np.rint(1 + np.log2(np.maximum(1.0, total / seen))), 1, 1 << DEPTH).astype(np.int64)
 
-        signer = Signer(weight_of, bands * rows)
+        signer = Signer(weight_of, bands * per_band)
+        seen = np.empty(0, dtype=np.int64)
         for batch in batches:
-            sets = batch.column("wset")
-            if not batch.num_rows:
+            k1, first = np.unique(batch.column("k1").to_numpy(), return_index=True)
+            first = np.sort(first[~np.isin(k1, seen, assume_unique=True)])
+            if not len(first):
                 continue
+            batch = batch.take(pa.array(first))
+            seen = np.union1d(seen if len(seen) < SEEN else seen[:0], batch.column("k1").to_numpy())
+            sets = batch.column("wset")
             offsets = sets.offsets.to_numpy().astype(np.int64)
-            values = sets.values.to_numpy()
-            keys = band_keys(signer.sign(values, offsets), bands, rows)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("bits"), batch.column("size"), listed], names=["k1", "bits", "size", "keys"])
+            values = sets.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
+            offsets -= offsets[0]
+            keys = band_keys(signer.sign(values, offsets), bands, per_band)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array((keys >> 32).astype(np.int32).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("image"), listed], names=["k1", "image", "keys"])
 
-    return classes.select("k1", "bits", "size", "wset").mapInArrow(run, "k1 bigint, bits bigint, size int, keys array<bigint>")
+    return rows.select("k1", set_image(F.col("wset")).alias("image"), "wset").mapInArrow(run, "k1 bigint, image bigint, keys array<int>")
 
 
 def candidate_pairs(signed: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """Distinct (a, b), a < b, of classes that share a band and may overlap enough."""
-    rows = signed.select(F.explode("keys").alias("band"), "k1", "bits", "size")
+    rows = signed.select(F.explode("keys").alias("band"), "k1", "image")
     return (
         rows.alias("x")
-        .join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.k1") < F.col("y.k1")) & may_overlap("x", "y", overlap))
+        .join(rows.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.k1") < F.col("y.k1")) & images_may_overlap(F.col("x.image"), F.col("y.image"), overlap))
         .select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b"))
         .distinct()
     )
 
 
-def verified_pairs(pairs: DataFrame, classes: DataFrame, overlap: float = OVERLAP) -> DataFrame:
+def verified_pairs(pairs: DataFrame, rows: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """The candidate pairs whose whole sets overlap enough: a1, a2, b1, b2 (class keys)."""
+    pairs = cut(pairs)
+    ends = pairs.select(F.col("a").alias("k1")).unionByName(pairs.select(F.col("b").alias("k1"))).distinct()
+    classes = cut(rows.select("k1", "k2", "wset").join(small_or_plain(ends), "k1", "left_semi").groupBy("k1", "k2").agg(F.first("wset").alias("wset")))
     x, y = classes.alias("x"), classes.alias("y")
     return (
         pairs.join(x, F.col("a") == F.col("x.k1"))
@@ -91,10 +106,9 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, text: str, row_id: str, owner: str, overlap: float = OVERLAP):
         source = df.select(F.col(row_id).alias("rid"), F.col(owner).alias("owner"), F.col(text).alias("text"))
         self.rows = cut(with_word_sets(spread(source), "text", ["rid", "owner"]))
-        self.classes = self.rows.groupBy("k1", "k2").agg(F.first("wset").alias("wset"), F.first("bits").alias("bits"), F.first("size").alias("size"))
         sketch, total = word_weights(self.rows)
-        pairs = candidate_pairs(signed_bands(self.classes, sketch, total), overlap)
-        self.links = cut(verified_pairs(pairs, self.rows.select("k1", "k2", "wset").dropDuplicates(["k1", "k2"]), overlap))
+        pairs = candidate_pairs(signed_bands(self.rows, sketch, total), overlap)
+        self.links = cut(verified_pairs(pairs, self.rows, overlap))
 
     def row_pairs(self) -> DataFrame:
         """id_a < id_b of different rows and owners whose texts overlap enough but differ in form."""

@@ -51,3 +51,33 @@ def overlap(a: Column, b: Column) -> Column:
 
 def at_least(a: Column, b: Column, t: float = OVERLAP) -> Column:
     return overlap(a, b) >= F.lit(t - 1e-9)
+
+
+def narrow_set(wset: Column) -> Column:
+    """32-bit hashes of the words (two words of a pair of texts agree by chance once in some 10**7 pairs)."""
+    return F.transform(wset, lambda h: F.call_function("shiftright", h, F.lit(32)).cast("int"))
+
+
+def spread_hash(words32: Column) -> Column:
+    """A bigint whose top and low 16 bits are those of a 32-bit hash (the two slots of a count sketch)."""
+    wide = words32.cast("bigint")
+    return F.call_function("shiftleft", wide, F.lit(32)).bitwiseXOR(wide.bitwiseAND(F.lit(0xFFFF)))
+
+
+def hash_again(words32):
+    """numpy twin of :func:`spread_hash`."""
+    wide = words32.astype("int64")
+    return (wide << 32) ^ (wide & 0xFFFF)
+
+
+def set_image(wset: Column) -> Column:
+    """56 bits of the set and, in the top 8, its size (255: that or more)."""
+    bits = F.aggregate(wset, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(56)).cast("int"))))
+    return bits.bitwiseOR(F.call_function("shiftleft", F.least(F.size(wset), F.lit(255)).cast("bigint"), F.lit(56)))
+
+
+def images_may_overlap(a: Column, b: Column, t: float = OVERLAP) -> Column:
+    """As :func:`may_overlap`, for set images; sets of 255 words and more always may."""
+    size = [F.shiftrightunsigned(x, 56) for x in (a, b)]
+    differ = F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 56) - 1)))
+    return (differ <= (size[0] + size[1]) * F.lit((1 - t) / (1 + t)) + F.lit(1e-6)) | (size[0] == 255) | (size[1] == 255)

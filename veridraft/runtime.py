@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -25,6 +26,14 @@ def once(value: Column, name: str) -> Column:
     return F.explode(F.array(value)).alias(name)
 
 
+BROADCAST_ROWS = 200_000  # of keys of at most 36 characters: some 15 MB
+
+
+def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (one narrow key column) with a broadcast hint if it was counted to have at most ``limit`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
@@ -48,9 +57,16 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans nobody holds any longer (it does so when the JVM collects them)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bucket_counts(spark_df: DataFrame, col: str, bits: int = 16) -> "object":
     """A count-min sketch (two rows of ``2**bits`` counters) of a bigint hash column.
 

@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import small_or_plain, table
 
 INTAKE = "field-intake"
-BROADCAST_ROWS = 200_000  # ids of 36 characters: some 15 MB at most
-
-
-def small_or_plain(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted to have at most ``limit`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
 
 def intake_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id of the documents that are not yet segmented."""
