@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, spread, table
 from ..sources.corpus import intake, segmented
-from . import lookalike, sentences
+from . import bpe, lookalike, repetition, sentences
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +30,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(spread(intake(spark, d)))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p4_found)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.repetitive(spread(segmented(spark, d))).select("doc_id")
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated share and probability of repetition of every document."""
+    return repetition.judged(spread(segmented(spark, d))).select("doc_id", "n_words", F.round("share", 6).alias("share"), F.round("probability", 6).alias("probability"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(spread(table(spark, d, "documents").select("doc_id", "text")))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p4_found, p6_found, p6_shares, p8_ids)}
 
 ORACLES: dict[str, str] = {}
