@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.canonical import consistent_form, words
-from ..runtime import cut, once
+from ..runtime import cut, once, small_or_plain
 from .winnowing import fingerprints, gram_sketch
-from .wordsets import MIN_WORDS, OVERLAP, at_least, may_overlap, with_set_key, word_set
+from .wordsets import MIN_WORDS, OVERLAP, at_least, images_may_overlap, set_image
 
 TRAIN, HELD_OUT = "train", ("val", "test")
 
@@ -55,33 +55,38 @@ def chain_and_extend(a: list, b: list, seeds: list) -> int:
 
 
 def prepare(records: DataFrame) -> DataFrame:
-    """records: realm, rid, split, source, text. Adds the keys; keeps records of at least eight words."""
+    """records: realm, rid, split, source, text. Those of at least eight words, with seq: their words in order, as 32-bit hashes."""
     formed = records.select("realm", "rid", "split", "source", once(words(consistent_form(F.col("text"))), "_w"))
-    seqs = formed.where(F.size("_w") >= MIN_WORDS).select("realm", "rid", "split", "source", once(F.transform("_w", lambda w: F.xxhash64(w)), "seq"))
-    sets = seqs.select("*", once(F.array_sort(F.array_distinct("seq")), "wset"))
-    return with_set_key(sets, realm=F.col("realm")).withColumn("c1", F.xxhash64("realm", "seq"))
+    return formed.where(F.size("_w") >= MIN_WORDS).select("realm", "rid", "split", "source", F.transform("_w", lambda w: F.hash(w)).alias("seq"))
+
+
+def with_keys(rows: DataFrame) -> DataFrame:
+    """Adds wset, k1, k2 and image (of the word set) and c1 (of the sequence). Made when read, so the table need not hold them."""
+    sets = rows.select("*", once(F.array_sort(F.array_distinct("seq")), "wset"))
+    return sets.withColumns({"k1": F.xxhash64("realm", "wset"), "k2": F.xxhash64("wset", "realm"), "image": set_image(F.col("wset")), "c1": F.xxhash64("realm", "seq")})
 
 
 class CrossSplitOverlap:
     """Cross-split overlaps of ``records`` (realm, rid, split, source, text); realms are kept apart."""
 
     def __init__(self, records: DataFrame, overlap: float = OVERLAP):
-        self.rows = cut(prepare(records.where(F.col("split").isin(TRAIN, *HELD_OUT))))
+        self.rows = with_keys(cut(prepare(records.where(F.col("split").isin(TRAIN, *HELD_OUT)))))
         is_train = F.col("split") == TRAIN
         #: distinct texts by side; c1 is the key of a text, k1 and k2 of its word set
         self.texts = self.rows.groupBy("c1").agg(
-            *[F.first(c).alias(c) for c in ("realm", "k1", "k2", "bits", "size", "seq")], F.bool_or(is_train).alias("train"), F.bool_or(~is_train).alias("held")
+            *[F.first(c).alias(c) for c in ("realm", "k1", "image", "seq")], F.bool_or(is_train).alias("train"), F.bool_or(~is_train).alias("held")
         )
         sketch = gram_sketch(self.rows)
-        marks = fingerprints(self.texts, sketch, ["c1", "realm", "k1", "bits", "size", "train", "held"])
-        rows = marks.select("c1", "realm", "k1", "bits", "size", "train", "held", F.explode("marks").alias("m")).select("*", F.col("m.gram").alias("gram"), F.col("m.place").alias("place"))
+        marks = fingerprints(self.texts, sketch, ["c1", "realm", "k1", "image", "train", "held"])
+        rows = marks.select("c1", "realm", "k1", "image", "train", "held", F.explode("marks").alias("m")).select("*", F.col("m.gram").alias("gram"), F.col("m.place").alias("place"))
         held, train = rows.where("held").drop("train", "held", "m").alias("x"), rows.where("train").drop("train", "held", "m").alias("y")
-        seeds = (
-            held.join(train, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.realm") == F.col("y.realm")) & (F.col("x.k1") != F.col("y.k1")) & may_overlap("x", "y", overlap))
+        seeds = cut(
+            held.join(train, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.realm") == F.col("y.realm")) & (F.col("x.k1") != F.col("y.k1")) & images_may_overlap(F.col("x.image"), F.col("y.image"), overlap))
             .groupBy(F.col("x.c1").alias("a"), F.col("y.c1").alias("b"))
             .agg(F.collect_set(F.struct(F.col("x.place").alias("i"), F.col("y.place").alias("j"))).alias("seeds"))
         )
-        texts = self.rows.select("c1", "seq", "wset").dropDuplicates(["c1"])
+        ends = seeds.select(F.col("a").alias("c1")).unionByName(seeds.select(F.col("b").alias("c1"))).distinct()
+        texts = cut(self.rows.select("c1", "seq", "wset").join(small_or_plain(ends), "c1", "left_semi").groupBy("c1").agg(F.first("seq").alias("seq"), F.first("wset").alias("wset")))
         x, y = texts.alias("x"), texts.alias("y")
         near = (
             seeds.join(x, F.col("a") == F.col("x.c1"))

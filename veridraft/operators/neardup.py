@@ -28,11 +28,16 @@ BANDS, ROWS = 24, 4  # chance to miss a pair of weighted overlap 0.7: (1 - 0.7**
 
 
 def with_word_sets(df: DataFrame, text: str, keep: list[str], min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of at least ``min_words`` words: keep, fkey (of the consistent form), k1, k2 (of the word set), wset."""
+    """The rows of at least ``min_words`` words: keep, fkey (of the consistent form), wset."""
     formed = df.select(*keep, once(consistent_form(F.col(text)), "_form"))
     worded = formed.select(*keep, F.xxhash64("_form").alias("fkey"), once(words(F.col("_form")), "_words"))
     sets = worded.where(F.size("_words") >= min_words).select(*keep, "fkey", once(word_set(F.col("_words")), "_set"))
-    return sets.select(*keep, "fkey", F.xxhash64(F.lit(0), "_set").alias("k1"), F.xxhash64("_set", F.lit(0)).alias("k2"), narrow_set(F.col("_set")).alias("wset"))
+    return sets.select(*keep, "fkey", narrow_set(F.col("_set")).alias("wset"))
+
+
+def with_class_key(rows: DataFrame) -> DataFrame:
+    """Adds k1, k2: 128 bits that name the word set. Made when read, so the table need not hold them."""
+    return rows.withColumns({"k1": F.xxhash64(F.lit(0), "wset"), "k2": F.xxhash64("wset", F.lit(0))})
 
 
 def word_weights(rows: DataFrame) -> tuple:
@@ -105,7 +110,7 @@ class NearDuplicates:
 
     def __init__(self, df: DataFrame, text: str, row_id: str, owner: str, overlap: float = OVERLAP):
         source = df.select(F.col(row_id).alias("rid"), F.col(owner).alias("owner"), F.col(text).alias("text"))
-        self.rows = cut(with_word_sets(spread(source), "text", ["rid", "owner"]))
+        self.rows = with_class_key(cut(with_word_sets(spread(source), "text", ["rid", "owner"])))
         sketch, total = word_weights(self.rows)
         pairs = candidate_pairs(signed_bands(self.rows, sketch, total), overlap)
         self.links = cut(verified_pairs(pairs, self.rows, overlap))

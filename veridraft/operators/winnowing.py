@@ -32,7 +32,7 @@ def rolling_hashes(values: np.ndarray, gram: int = GRAM) -> np.ndarray:
 def _flat(column: pa.ListArray):
     """Values and offsets of a list column, the values without what lies before the first offset."""
     offsets = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
+    return column.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64), offsets - offsets[0]
 
 
 def select_minima(values: np.ndarray, offsets: np.ndarray, sketch, gram: int = GRAM, window: int = WINDOW):

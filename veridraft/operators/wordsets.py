@@ -1,14 +1,14 @@
 """Texts as sets of word hashes, with an exact overlap test and a lossless cheap filter.
 
 The overlap of two texts is |A and B| / |A or B| over their distinct words. Two sets of overlap
-at least t differ in at most (1-t)/(1+t) * (|A|+|B|) words, and two 64-bit images of the sets
-differ in no more bits than the sets in words. So ``may_overlap`` rejects no true pair, and costs
+at least t differ in at most (1-t)/(1+t) * (|A|+|B|) words, and two 56-bit images of the sets
+differ in no more bits than the sets in words. So ``images_may_overlap`` rejects no true pair, and costs
 one XOR and one population count per candidate, within the join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MIN_WORDS = 8
@@ -20,29 +20,6 @@ def word_set(words: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def with_set_key(df: DataFrame, set_col: str = "wset", realm: Column | None = None) -> DataFrame:
-    """Adds k1, k2 (a 128-bit key of the set, and of the realm), bits (64-bit image) and size."""
-    s = F.col(set_col)
-    realm = F.lit(0) if realm is None else realm
-    return df.select(
-        "*",
-        F.xxhash64(realm, s).alias("k1"),
-        F.xxhash64(s, realm).alias("k2"),
-        F.aggregate(s, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(_bit(x))).alias("bits"),
-        F.size(s).alias("size"),
-    )
-
-
-def _bit(x: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(64)).cast("int"))
-
-
-def may_overlap(a: str, b: str, t: float = OVERLAP) -> Column:
-    """False only for pairs whose overlap is surely under ``t``."""
-    limit = (F.col(f"{a}.size") + F.col(f"{b}.size")) * F.lit((1 - t) / (1 + t)) + F.lit(1e-6)
-    return F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits"))) <= limit
-
-
 def overlap(a: Column, b: Column) -> Column:
     """Exact overlap of two set columns."""
     common = F.size(F.array_intersect(a, b))
@@ -77,7 +54,7 @@ def set_image(wset: Column) -> Column:
 
 
 def images_may_overlap(a: Column, b: Column, t: float = OVERLAP) -> Column:
-    """As :func:`may_overlap`, for set images; sets of 255 words and more always may."""
+    """False only for pairs whose overlap is surely under ``t``; sets of 255 words and more always may."""
     size = [F.shiftrightunsigned(x, 56) for x in (a, b)]
     differ = F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 56) - 1)))
     return (differ <= (size[0] + size[1]) * F.lit((1 - t) / (1 + t)) + F.lit(1e-6)) | (size[0] == 255) | (size[1] == 255)
