@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, spread, table
 from ..sources.corpus import intake, segmented
-from . import bpe, lookalike, repetition, sentences
+from . import bpe, lookalike, pairs, repetition, sentences
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,10 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_forms(rows).select("rec_table", "rec_id", "form").distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(spread(table(spark, d, "rewrite_pairs").select("pair_id", "source_text", "target_text")))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(spread(intake(spark, d)))
 
@@ -43,6 +47,6 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p4_found, p6_found, p6_shares, p8_ids)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p4_found, p6_found, p6_shares, p8_ids)}
 
 ORACLES: dict[str, str] = {}
