@@ -151,25 +151,26 @@ def _encoder(held) -> MergeReplay:
     return _ENCODERS[key]
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, lengths_only: bool = False) -> DataFrame:
-    """key and ids (array of int) of every row; with ``lengths_only`` key and n_tokens (int) instead."""
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, lengths_only: bool = False, keep: tuple = ()) -> DataFrame:
+    """key and ids (array of int) of every row; with ``lengths_only`` key and n_tokens (int) instead. ``keep``: further columns to pass on."""
     held = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
     name = "n_tokens" if lengths_only else "ids"
     kind = "int" if lengths_only else "array<int>"
-    key_type = df.select(key).schema[0].dataType.simpleString()
+    names = [key, *keep]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema)
 
     def run(batches):
         encoder = _encoder(held)
         for batch in batches:
             for a in range(0, batch.num_rows, 2_000):
                 part = batch.slice(a, 2_000)
-                coded = encoder.encode_batch(part.column(1).to_pylist())
+                coded = encoder.encode_batch(part.column(len(names)).to_pylist())
                 n = np.fromiter(map(len, coded), dtype=np.int32, count=len(coded))
                 if lengths_only:
                     out = pa.array(n)
                 else:
                     flat = np.fromiter(itertools.chain.from_iterable(coded), dtype=np.int32, count=int(n.sum()))
                     out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), out], names=[key, name])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], out], names=[*names, name])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {key_type}, {name} {kind}")
+    return df.select(*names, text).mapInArrow(run, f"{schema}, {name} {kind}")

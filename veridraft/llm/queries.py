@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, spread, table
 from ..sources.corpus import intake, segmented
-from . import bpe, lookalike, pairs, repetition, sentences
+from . import bpe, conduct, lookalike, mixing, pairs, repetition, sentences
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -47,6 +47,35 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p4_found, p6_found, p6_shares, p8_ids)}
+def _mixture(spark: SparkSession, d: str) -> mixing.Mixture:
+    return mixing.Mixture(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_target"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn documents, their size in tokens and how often each is used."""
+    return _mixture(spark, d).rows
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares()
+
+
+def _conduct(spark: SparkSession, d: str) -> DataFrame:
+    return conduct.scored(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "review_label"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return conduct.found(_conduct(spark, d))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _conduct(spark, d).select("doc_id", *[F.round(c, 6).alias(c) for c in conduct.CATEGORIES])
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return conduct.rates(_conduct(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p4_found, p6_found, p6_shares, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
 ORACLES: dict[str, str] = {}
