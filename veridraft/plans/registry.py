@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import training_data
+from . import reference, training_data
 
-_MODULES = [training_data]
+_MODULES = [reference, training_data]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
