@@ -1,0 +1,149 @@
+"""Near-duplicates, cross-split overlaps, grouped splits: against brute force on small data."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from veridraft.functions.canonical import canonical_text, consistent_form
+from veridraft.operators.bagminhash import word_values
+from veridraft.operators.components import connected_components
+from veridraft.operators.crosssplit import CrossSplitOverlap, chain_and_extend
+from veridraft.operators.grouping import GroupedSplit
+from veridraft.operators.neardup import NearDuplicates
+
+WORDS = "the red pump of valve near bay seven must be closed before shift while lamp and gauge stay green on left side during cold winter night for safety reasons".split()
+
+
+def word_set(t):
+    return [w for w in re.findall(r"[^\W_]+", canonical_text(t).lower())]
+
+
+def overlap(a, b):
+    a, b = set(a), set(b)
+    return len(a & b) / len(a | b)
+
+
+def texts(n=120, seed=1):
+    rng = random.Random(seed)
+    base = [[*rng.choices(WORDS, k=10), f"code{rng.randrange(10**6)}", f"unit{rng.randrange(10**6)}", *rng.choices(WORDS, k=4)] for _ in range(n // 3)]
+    out = []
+    for b in base:
+        out.append(" ".join(b))
+        for _ in range(2):
+            c = list(b)
+            for _ in range(rng.randrange(1, 4)):
+                i = rng.randrange(len(c))
+                c[i : i + 1] = rng.choice([[], ["extra"], [c[i], "again"], [c[i].upper()]])
+            out.append(" ".join(c))
+    return out
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Ｆｕｌｌ　ｗｉｄｔｈ", "Full width"), ("zero​width﻿", "zerowidth"), ("é é", "é é"), ("Τhe рumр", "The pump"), ("a  b \n c", "a b c"), ("ﬁt", "fit"), ("x² CO₂", "x² CO₂"),
+        ("‐ — ’ '", "- — ’ '"), ("Насос с клапаном", "Насос с клапаном"), ("", ""), ("  ", ""), ("Ο̂s set", "Ôs set"), ("ΝΜΝ-1 stands here", "NMN-1 stands here"),
+    ],
+)
+def test_canonical(spark, text, want):
+    assert canonical_text(text) == want
+    assert spark.createDataFrame([(text,)], "t string").select(consistent_form(F.col("t")).alias("f")).first().f == want
+
+
+def test_canonical_null(spark):
+    assert spark.createDataFrame([(None,)], "t string").select(consistent_form(F.col("t")).alias("f")).first().f is None
+
+
+def test_bagminhash_estimates_weighted_overlap():
+    rng = np.random.default_rng(0)
+    words = rng.integers(-(2**62), 2**62, 60)
+    weights = rng.integers(1, 33, 60)
+    v = word_values(words, weights, 4000)
+    a, b = slice(0, 40), slice(20, 60)
+    got = np.mean(v[a].min(axis=0) == v[b].min(axis=0))
+    assert abs(got - weights[20:40].sum() / weights.sum()) < 0.04
+    # a heavier weight only adds points: values never grow
+    assert (word_values(words, np.minimum(weights + 3, 32), 50) <= word_values(words, weights, 50)).all()
+
+
+def test_neardup_against_brute_force(spark):
+    ts = texts()
+    rows = [(f"s{i:03d}", f"d{i % 7}", t) for i, t in enumerate(ts)] + [("s900", "d8", None), ("s901", "d8", ""), ("s902", "d8", "two words"), ("s000", "d0", ts[0]), ("s903", "d9", ts[0].upper())]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "sentence_id string, doc_id string, text string, rid string")
+    nd = NearDuplicates(df, "text", "sentence_id", "doc_id")
+    got = {(r.id_a, r.id_b) for r in nd.row_pairs().collect()}
+    want = set()
+    for (s, d, t), (s2, d2, t2) in itertools.combinations(sorted({r for r in rows if r[2]}), 2):
+        a, b = word_set(t), word_set(t2)
+        if s != s2 and d != d2 and len(a) >= 8 and len(b) >= 8 and overlap(a, b) >= 0.8 and canonical_text(t) != canonical_text(t2):
+            want.add((min(s, s2), max(s, s2)))
+    assert want and got == want
+    groups = nd.groups()
+    assert groups.where("links > 0").count() > 0 and groups.where("rid = 's900'").count() == 0
+    assert NearDuplicates(df.limit(0), "text", "sentence_id", "doc_id").row_pairs().count() == 0
+
+
+def test_hot_copies_cost_nothing(spark):
+    t = "one two three four five six seven eight nine"
+    df = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("s"), F.concat(F.lit("d"), "id").alias("d"), F.lit(t).alias("text"))
+    assert NearDuplicates(df, "text", "s", "d").row_pairs().count() == 0
+
+
+def test_crosssplit_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i % 2, f"r{i:03d}", rng.choice(["train", "train", "val", "test", None]), "src", t) for i, t in enumerate(texts(seed=5))]
+    rows += [(0, "n1", "val", None, None), (0, "n2", "test", "s", "short text")]
+    op = CrossSplitOverlap(spark.createDataFrame(rows, "realm int, rid string, split string, source string, text string"))
+    got = {(r.realm, r.rid) for r in op.concerned().collect()}
+    want = set()
+    for m, i, s, _, t in rows:
+        a = word_set(t) if t else []
+        if s in ("val", "test") and len(a) >= 8:
+            for m2, _, s2, _, t2 in rows:
+                b = word_set(t2) if t2 else []
+                if m2 == m and s2 == "train" and len(b) >= 8 and overlap(a, b) >= 0.8:
+                    want.add((m, i))
+    assert want and got == want
+    assert all(0 < r.coverage <= 1 for r in op.concerned().collect())
+
+
+def test_chain():
+    a, b = list("abcdefgh"), list("abXdefgh")
+    assert chain_and_extend(a, b, [(0, 0), (3, 3)]) == 7
+    assert chain_and_extend(a, b, []) == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7), (None, 3)] + [(500, 600 + i) for i in range(40)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}
+    assert all(got[i] == 0 for i in range(51)) and got[300] == 100 and all(got[600 + i] == 500 for i in range(40)) and 7 in got
+    assert connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
+
+
+def test_grouped_split(spark):
+    rng = random.Random(2)
+    rows = [(f"s{i}", f"d{i // 10:03d}") for i in range(3000)] + [("s0", "d250"), ("s2500", "d299"), ("s0", "d000"), (None, "d1"), ("s1", None)]
+    sent = spark.createDataFrame(rows, "sentence_id string, doc_id string")
+    labels = spark.createDataFrame([(f"s{i}", rng.choice("abc")) for i in range(0, 3000, 2)] + [("unknown", "a"), ("s1", None)], "sentence_id string, trope_id string")
+    plan = spark.createDataFrame([("train", 0.8), ("val", 0.1), ("test", 0.1)], "split_name string, target_share double")
+    g = GroupedSplit(sent, labels, plan)
+    out = g.assignment().collect()
+    assert {(r.node, r.component) for r in g.related.collect()} == {("d000", "d000"), ("d250", "d000"), ("d299", "d000")}
+    by_group: dict = {}
+    for r in out:
+        by_group.setdefault(r.group_key, set()).add(r.split_name)
+    assert all(len(v) == 1 for v in by_group.values())
+    share = {s: len({r.sentence_id for r in out if r.split_name == s}) / 3000 for s in ("train", "val", "test")}
+    assert abs(share["train"] - 0.8) < 0.03 and abs(share["val"] - 0.1) < 0.03 and abs(share["test"] - 0.1) < 0.03
+    assert GroupedSplit(sent.limit(0), labels, plan).assignment().count() == 0
+
+
+def test_registry():
+    import __spark_entry__ as e
+
+    q, o = e.queries(), e.oracle_sql()
+    assert {"p1_found", "p5_found", "p7_found", "passive_by_lang"} <= set(q) and set(o) <= set(q)
