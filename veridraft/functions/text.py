@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 #: Blank characters in the sense of Python's str.
 WS = "\\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def strip(c: Column) -> Column:
     """Without Unicode blanks at the ends."""
-    return F.regexp_replace(c, f"\\A[{WS}]+|[{WS}]+\\z", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normalize_sentence(c: Column) -> Column:

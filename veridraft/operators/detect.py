@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import ellipsis, normalize_sentence, strip_front_matter, word_count
-from ..runtime import once
+from ..runtime import cut, once
 from .patterns import DETECTORS, GATE, first_match, hits
-from .segment import paragraph_array, sentence_array, sentences
+from .segment import paragraph_array, sentence_array
 
 LONG_SENTENCE, LONG_PARAGRAPH, DUPLICATE_LENGTH = 25, 6, 25
 CROSS = ("Content Duplication", "Historical Analogy Stacking", "Long Paragraph")
@@ -51,7 +51,8 @@ def content_duplication(rows: DataFrame, doc: str = "doc_id", text: str = "text"
     Counted by (document, hash of the sentence), joined back only where a count exceeds one: no
     document is held in one task.
     """
-    keyed = rows.withColumn("_n", normalize_sentence(F.col(text))).where(F.length("_n") >= DUPLICATE_LENGTH).withColumn("_k", F.xxhash64("_n")).withColumn("_k2", F.xxhash64(F.lit(3), "_n"))
+    normal = rows.select("*", once(normalize_sentence(F.col(text)), "_n")).where(F.length("_n") >= DUPLICATE_LENGTH)
+    keyed = normal.select(*rows.columns, F.xxhash64("_n").alias("_k"), F.xxhash64(F.lit(3), "_n").alias("_k2"))
     by = [doc, "_k", "_k2"]
     again = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(*by)
     return keyed.join(again, by, "left_semi").select(*rows.columns)
@@ -63,32 +64,34 @@ def analogy_stacking(rows: DataFrame, doc: str = "doc_id", text: str = "text") -
     return found.join(found.groupBy(doc).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select(doc), doc, "left_semi").select(*rows.columns)
 
 
-def long_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sentences of paragraphs with more than six, found within the row of the document."""
+def analysed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The sentences of the documents, with long: whether they stand in a paragraph of more than six. Made within the row."""
     told = docs.select(key, text, once(sentence_array(F.col(text)), "s"))
     both = told.select(key, "s", once(paragraph_array(F.col(text)), "p"))
-    # Sentences and paragraphs ascend, so each paragraph filters the array once.
-    kept = F.filter(
-        F.transform("p", lambda p: F.filter("s", lambda s: (s["char_start"] >= p["start"]) & (s["char_start"] < p["end"]))), lambda g: F.size(g) > LONG_PARAGRAPH
-    )
-    return both.select(key, F.explode(F.flatten(kept)).alias("x")).select(key, "x.*")
+    inside = lambda x, p: (x["char_start"] >= p["start"]) & (x["char_start"] < p["end"])
+    big = both.select(key, "s", once(F.filter("p", lambda p: F.size(F.filter("s", lambda x: inside(x, p))) > LONG_PARAGRAPH), "big"))
+    return big.select(key, "big", F.posexplode("s").alias("ordinal", "x")).select(key, "ordinal", "x.*", F.exists("big", lambda p: inside(F.col("x"), p)).alias("long"))
+
+
+def long_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Sentences of paragraphs with more than six."""
+    return analysed(docs, key, text).where("long").select(key, "text", "char_start", "char_end", "line")
 
 
-def document_findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, text, char_start, char_end, line, name of all findings that need the document."""
-    s = sentences(docs, key, text)
-    parts = [content_duplication(s, key), analogy_stacking(s, key)]
-    tagged = [p.select(key, "text", "char_start", "char_end", "line", F.lit(n).alias("name")) for p, n in zip(parts, CROSS)]
-    tagged.append(long_paragraphs(docs, key, text).select(key, "text", "char_start", "char_end", "line", F.lit(CROSS[2]).alias("name")))
-    return reduce(DataFrame.unionByName, tagged)
+def document_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", rows: DataFrame | None = None) -> DataFrame:
+    """key, text, char_start, char_end, line, name of all findings that need the document. ``rows``: the documents as analysed already."""
+    s = analysed(docs, key, text) if rows is None else rows
+    parts = [content_duplication(s, key), analogy_stacking(s, key), s.where("long")]
+    return reduce(DataFrame.unionByName, [p.select(key, "text", "char_start", "char_end", "line", F.lit(n).alias("name")) for p, n in zip(parts, CROSS)])
 
 
 def gate_findings(docs: DataFrame, trope: DataFrame, thresholds: DataFrame | None = None, default: float = 0.5, key: str = "doc_id", text: str = "text", dialect: str = "re2") -> DataFrame:
     """Findings of the gate: sentence detectors at or over their threshold, and document findings at 1.0."""
-    single = detected(sentences(docs, key, text), names=GATE, dialect=dialect).select(key, "line", "char_start", "char_end", "text", "name", F.lit(1.0).alias("confidence"))
+    rows = cut(analysed(docs, key, text))
+    single = detected(rows, names=GATE, dialect=dialect).select(key, "line", "char_start", "char_end", "text", "name", F.lit(1.0).alias("confidence"))
     if thresholds is not None:
         single = single.join(F.broadcast(thresholds.select("name", "threshold")), "name", "left").where(F.col("confidence") >= F.coalesce("threshold", F.lit(default))).drop("threshold")
-    cross = document_findings(docs, key, text).select(key, "line", "char_start", "char_end", "text", "name", F.lit(1.0).alias("confidence"))
+    cross = document_findings(docs, key, text, rows).select(key, "line", "char_start", "char_end", "text", "name", F.lit(1.0).alias("confidence"))
     named = single.unionByName(cross).join(F.broadcast(trope.select("name", "category", "description")), "name", "left")
     return named.select(
         F.col(key).alias("file"), "line", "char_start", "char_end", F.col("text").alias("sentence_text"), F.col("name").alias("violation_name"), "category", "confidence", "description",
@@ -100,11 +103,11 @@ def scan_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", dial
     """Findings of the scan profile: front matter left out; all patterns, length and document rules. file_line counts front matter."""
     body = docs.select(key, F.col(text).alias("_t"), strip_front_matter(F.col(text)).alias("body"))
     skipped = body.select(key, (F.length("_t") - F.length("body") - F.length(F.replace(F.substring(F.col("_t"), F.lit(1), F.length("_t") - F.length("body")), F.lit("\n"), F.lit("")))).alias("front_lines"))
-    s = sentences(body, key, "body")
+    s = cut(analysed(body, key, "body"))
     single = detected(s, dialect=dialect).select(key, "line", F.col("text").alias("sentence"), "name", "match")
     length = long_sentences(s).select(key, "line", F.col("text").alias("sentence"), F.lit("Sentence Too Long (descriptive)").alias("name"), F.concat(F.col("n_words").cast("string"), F.lit(" words")).alias("match"))
     said = F.create_map(*[F.lit(x) for x in (CROSS[0], "verbatim repeat", CROSS[1], "historical analogy", CROSS[2], "paragraph >6 sentences")])
-    cross = document_findings(body, key, "body").select(key, "line", F.col("text").alias("sentence"), "name", said[F.col("name")].alias("match"))
+    cross = document_findings(body, key, "body", s).select(key, "line", F.col("text").alias("sentence"), "name", said[F.col("name")].alias("match"))
     return single.unionByName(length).unionByName(cross).join(skipped, key).select(key, "name", "line", (F.col("line") + F.col("front_lines")).cast("int").alias("file_line"), ellipsis(F.col("sentence")).alias("sentence"), "match")
 
 

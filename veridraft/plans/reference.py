@@ -187,7 +187,7 @@ _ROWS_SQL = "SELECT DISTINCT sentence_id, doc_id, ordinal, text FROM sentence WH
     f"WITH s AS (SELECT *, {_NORM_SQL} AS n FROM ({_ROWS_SQL})), k AS (SELECT *, count(*) OVER (PARTITION BY doc_id, n) AS c FROM s WHERE length(n) >= 25) SELECT sentence_id, doc_id, ordinal FROM k WHERE c > 1"
 )
 def content_duplication(spark, d):
-    rows = table(spark, d, "sentence").where("text is not null").select("sentence_id", "doc_id", "ordinal", "text").distinct()
+    rows = spread(table(spark, d, "sentence").select("sentence_id", "doc_id", "ordinal", "text")).where("text is not null").distinct()
     return detect.content_duplication(rows).select("sentence_id", "doc_id", "ordinal")
 
 
