@@ -82,4 +82,11 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p5_found, p5_assignment, p5_shares, p7_found, p7_groups)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p5_found": """
+WITH RECURSIVE m AS (SELECT DISTINCT sentence_id, doc_id FROM sentence WHERE sentence_id IS NOT NULL AND doc_id IS NOT NULL),
+e AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM m x JOIN m y ON x.sentence_id = y.sentence_id AND x.doc_id <> y.doc_id),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS doc_id, least(a, min(b)) AS group_key FROM r GROUP BY a
+""",
+}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -46,6 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+_written: list = []
+
+
+@atexit.register
+def _remove_written() -> None:
+    """At the end of the driver its cut tables go, where the shared folder is a mounted path."""
+    for path in _written:
+        if path.startswith("file:"):
+            shutil.rmtree(path[len("file:") :].replace("///", "/").replace("//", "/"), ignore_errors=True)
+
+
 def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -57,6 +70,7 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _written.append(path)
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
