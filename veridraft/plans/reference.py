@@ -149,13 +149,19 @@ for _n in DETECTORS:
     + ")"
 )
 def first_matches(spark, d):
-    """Matched text of every gate detector but the most frequent one."""
+    """Matched text of every gate detector but 'Three+ Nouns in a Row', as the SQL has it; all of them: :func:`gate_first_matches`."""
     return detect.detected(_sentences(spark, d), names=[n for n in GATE if n != "Three+ Nouns in a Row"]).select("sentence_id", "name", "match")
 
 
 ORACLES["first_matches"] = f"WITH s AS ({_SENTENCES_SQL}) " + ORACLES["first_matches"]
 
 
+@_query()
+def gate_first_matches(spark, d):
+    """Matched text of every gate detector, none left out."""
+    return detect.detected(_sentences(spark, d), names=GATE).select("sentence_id", "name", "match")
+
+
 @_query(f"SELECT sentence_id, concat_ws('', {', '.join('CASE WHEN ' + _hits_sql(n) + ' THEN 1 ELSE 0 END' if n in DETECTORS else '0' for n in NAMES)}) AS vector FROM ({_SENTENCES_SQL})")
 def regex_score_vector(spark, d):
     v = detect.score_vector(F.col("text"), NAMES)
