@@ -12,7 +12,7 @@ from veridraft.functions.canonical import canonical_text, consistent_form
 from veridraft.operators.bagminhash import word_values
 from veridraft.operators.components import connected_components
 from veridraft.operators.crosssplit import CrossSplitOverlap, chain_and_extend
-from veridraft.operators.grouping import GroupedSplit
+from veridraft.operators.grouping import GroupedSplit, assign_splits
 from veridraft.operators.neardup import NearDuplicates
 
 WORDS = "the red pump of valve near bay seven must be closed before shift while lamp and gauge stay green on left side during cold winter night for safety reasons".split()
@@ -142,6 +142,29 @@ def test_grouped_split(spark):
     assert GroupedSplit(sent.limit(0), labels, plan).assignment().count() == 0
 
 
+def test_small_components_are_stratified_by_all_their_labels(spark):
+    # Every component is below 1/2000 of the rows; label b sits mostly in the components of the rarer label a.
+    rng = random.Random(4)
+    items = [(f"p{i}", f"p{i}") for i in range(13000)]
+    labels = []
+    for i in range(300):
+        k = rng.choice([0, 5])
+        items += [(f"a{i}-{j}", f"a{i}") for j in range(k + 1)]
+        labels += [(f"a{i}-0", "a"), *((f"a{i}-{j}", "b") for j in range(1, k + 1))]
+    labels += [(f"p{i}", "b") for i in range(50)] + [(f"p{i}", "c") for i in range(0, 13000, 4)]
+    plan = [("train", 0.8), ("val", 0.1), ("test", 0.1)]
+    got = assign_splits(
+        spark.createDataFrame(items, "item string, group string"), spark.createDataFrame(labels, "item string, label string"), spark.createDataFrame(plan, "split_name string, target_share double")
+    ).collect()
+    of = {r.group: r.split_name for r in got}
+    group = dict(items)
+    assert len(got) == len(of) == 13300
+    for lab in "abc":
+        rows = [of[group[i]] for i, x in labels if x == lab]
+        for name, share in plan:
+            assert abs(rows.count(name) / len(rows) - share) < 0.004, (lab, name)
+
+
 def test_registry():
     import __spark_entry__ as e
 

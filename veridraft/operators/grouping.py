@@ -3,12 +3,12 @@
 1. Documents that share a sentence are linked (each to the smallest document of the sentence, so a
    sentence of any frequency gives one link for each document) and put into components.
 2. Each component gets its size and its count of every label.
-3. Components larger than a fixed fraction of all rows are few (at most 1 / fraction) and are
-   placed one by one on the driver: rarest outstanding label first, into the split that needs that
-   label most.
-4. The rest is placed label by label, the rarest outstanding label first: components of the label,
-   in a fixed random order, fill the open demand of the splits one after another. Running sums are
-   taken within buckets of that order and over the bucket totals, never over all rows in one task.
+3. Components are put into bins by rarest label, size (a power of two) and hash. A cell of label and
+   size has LEAST_BINS bins, or one for each 1 / BINS of all rows it holds, so the number of bins
+   grows with labels and sizes, not with rows, and a component is alone in its bin where there are few of its kind.
+4. Whatever its size, each bin is placed by one rule on the driver: rarest outstanding label first,
+   largest bin first, into the split that is furthest behind its share of that label and has room for
+   the bin (if none has, into the one that needs the label most). All labels of the bin are deducted.
 
 Edge cases: documents without sentences in common are components of their own; null ids are left
 out; labels of unknown sentences are ignored; repeated rows count once; an empty table gives an
@@ -19,13 +19,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..runtime import cut
 from .components import connected_components
 
-BIG = 1 / 2000  # share of all rows from which on a component is placed by itself
-BUCKETS = 256
+BINS, LEAST_BINS = 8192, 128
 
 
 def document_groups(memberships: DataFrame, item: str, owner: str) -> DataFrame:
@@ -45,78 +43,62 @@ def assign_splits(items: DataFrame, labels: DataFrame, plan: DataFrame, seed: in
     splits = [(r.split_name, float(r.target_share)) for r in plan.select("split_name", "target_share").where("target_share > 0").orderBy("split_name").collect()]
     whole = sum(s for _, s in splits)
     splits = [(n, s / whole) for n, s in splits]
+    if not splits:
+        return spark.createDataFrame([], "group string, split_name string")
     sizes = items.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     of_group = items.join(labels, "item").groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
-    parts = cut(of_group.unionByName(sizes.select("group", F.lit(None).cast("string").alias("label"), "n")))  # label null: all rows
-    totals = {r.label: r.n for r in parts.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # the label set is a fixed taxonomy
-    rows = totals.get(None, 0)
-    need = {lab: {n: s * t for n, s in splits} for lab, t in totals.items()}
-
-    big = parts.where(F.col("label").isNull() & (F.col("n") >= F.lit(max(1.0, rows * BIG)))).select("group")
-    vectors: dict = {}
-    for r in parts.join(big, "group", "left_semi").collect():  # at most 1 / BIG groups
-        vectors.setdefault(r.group, {})[r.label] = r.n
-    left = dict(totals)
-    placed: list = []
-
-    def take(split, vector):
-        for lab, n in vector.items():
-            need[lab][split] -= n
-            left[lab] -= n
-
-    while vectors:
-        open_labels = {lab for v in vectors.values() for lab in v}
-        lab = min(open_labels, key=lambda x: (left[x], x is None, str(x)))
-        group = max((g for g in vectors if lab in vectors[g]), key=lambda g: (vectors[g][None], str(g)))
-        split = max(splits, key=lambda s: (need[None][s[0]] > 0, need[lab][s[0]] / max(s[1], 1e-9) if lab is None else need[lab][s[0]], need[None][s[0]], s[0]))[0]
-        take(split, vectors[group])
-        placed.append((group, split))
-        del vectors[group]
-
-    schema = "group string, split_name string"
-    done = spark.createDataFrame(placed, schema) if placed else spark.createDataFrame([], schema)
-    rest = cut(parts.join(F.broadcast(done.select("group")), "group", "left_anti"))
-    # Each remaining group belongs to the round of its rarest label.
-    order = sorted(totals, key=lambda x: (x is None, totals[x], str(x)))
-    rank = F.create_map(*[F.lit(v) for i, lab in enumerate(order) if lab is not None for v in (lab, i)]) if len(order) > 1 else None
-    turn = F.coalesce(rank[F.col("label")], F.lit(len(order))) if rank is not None else F.lit(len(order))
-    groups = rest.groupBy("group").agg(
-        F.min(turn).alias("turn"), F.max(F.when(F.col("label").isNull(), F.col("n"))).alias("n"), F.min_by("n", turn).alias("weight")
-    )
-    placed_rows = groups.withColumn("h", F.xxhash64(F.lit(seed), "group")).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)).cast("int"))
-    # A group of the round weighs what it holds of the round's label; its place on the line of
-    # running weights decides the split.
-    totals_by_bucket = placed_rows.groupBy("turn", "bucket").agg(F.sum("weight").alias("w"), F.sum("n").alias("m"))
-    before = totals_by_bucket.withColumn("before", F.sum("w").over(Window.partitionBy("turn").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select(
-        "turn", "bucket", F.coalesce("before", F.lit(0)).alias("before")
+    parts = of_group.unionByName(sizes.select("group", F.lit(None).cast("string").alias("label"), "n"))  # label null: all rows
+    groups = cut(parts.groupBy("group").agg(F.collect_list(F.struct("label", "n")).alias("vector")))
+    totals = {r.label: r.n for r in groups.select(F.explode("vector").alias("v")).groupBy("v.label").agg(F.sum("v.n").alias("n")).collect()}  # the label set is a fixed taxonomy
+    schema = "turn int, size int, slot int, split_name string"
+    order = sorted((lab for lab in totals if lab is not None), key=lambda x: (totals[x], str(x)))
+    rank = F.create_map(*[F.lit(v) for i, lab in enumerate(order) for v in (lab, i)]) if order else None
+    turn = F.array_min(F.transform("vector", lambda v: F.coalesce(rank[v["label"]], F.lit(len(order))))) if order else F.lit(0)
+    n = F.element_at(F.filter("vector", lambda v: v["label"].isNull()), 1)["n"]
+    celled = groups.select("group", "vector", n.alias("n"), turn.alias("turn"), F.floor(F.log2(n)).cast("int").alias("size"))
+    cells = celled.groupBy("turn", "size").agg(F.sum("n").alias("n")).collect()  # at most labels x powers of two
+    slots = spark.createDataFrame([(r["turn"], r["size"], max(LEAST_BINS, -(-r["n"] * BINS // totals[None]))) for r in cells], "turn int, size int, slots int")
+    binned = celled.join(F.broadcast(slots), ["turn", "size"]).select(
+        "group", "vector", "turn", "size", F.pmod(F.xxhash64(F.lit(seed), "group"), F.col("slots")).cast("int").alias("slot")
     )
-    within = Window.partitionBy("turn", "bucket").orderBy("h", "group").rowsBetween(Window.unboundedPreceding, -1)
-    lined = placed_rows.join(F.broadcast(before), ["turn", "bucket"]).withColumn("at", F.col("before") + F.coalesce(F.sum("weight").over(within), F.lit(0)))
-    bounds = []
-    sums = {r.turn: (r.w, r.m) for r in totals_by_bucket.groupBy("turn").agg(F.sum("w").alias("w"), F.sum("m").alias("m")).collect()}
-    for i, lab in enumerate([*order, None] if None not in order else order):
-        pos = len(order) if lab is None else i
-        if pos not in sums:
+    held = binned.select("turn", "size", "slot", F.explode("vector").alias("v")).groupBy("turn", "size", "slot", "v.label").agg(F.sum("v.n").alias("n"))
+    vectors: dict = {}
+    columns = held.toArrow().to_pydict()  # at most BINS + LEAST_BINS x cells bins
+    for *key, lab, k in zip(*[columns[c] for c in ("turn", "size", "slot", "label", "n")]):
+        vectors.setdefault(tuple(key), {})[lab] = k
+    bins = spark.createDataFrame([(*k, s) for k, s in place(vectors, splits).items()], schema)
+    return binned.join(F.broadcast(bins), ["turn", "size", "slot"]).select("group", "split_name")
+
+
+def place(vectors: dict, splits: list) -> dict:
+    """vectors: {bin: {label: rows}}, label None for all rows. splits: (name, share). The split of every bin."""
+    left: dict = {}
+    waiting: dict = {}
+    for key in sorted(vectors, key=lambda k: (vectors[k][None], k)):  # the largest is popped first
+        for lab, n in vectors[key].items():
+            left[lab] = left.get(lab, 0) + n
+            waiting.setdefault(lab, []).append(key)
+    need = {lab: {n: s * t for n, s in splits} for lab, t in left.items()}
+    placed: dict = {}
+    while waiting:
+        lab = min(waiting, key=lambda x: (left[x], x is None, str(x)))
+        while waiting[lab] and waiting[lab][-1] in placed:
+            waiting[lab].pop()
+        if not waiting[lab]:
+            del waiting[lab]
             continue
-        w, m = sums[pos]
-        demand = {n: max(0.0, need[lab][n]) for n, _ in splits}
-        demand_all = sum(demand.values())
-        share = {n: (demand[n] / demand_all if demand_all > 0 else s) for n, s in splits}
-        at = 0.0
-        for n, _ in splits:
-            bounds.append((pos, n, at, at + share[n] * w))
-            at += share[n] * w
-            need[lab][n] -= share[n] * w
-            if lab is not None:
-                need[None][n] -= share[n] * m
-    table = spark.createDataFrame(bounds, "turn int, split_name string, lo double, hi double") if bounds else spark.createDataFrame([], "turn int, split_name string, lo double, hi double")
-    last = table.groupBy("turn").agg(F.max("hi").alias("end"), F.max_by("split_name", "hi").alias("fallback"))
-    mid = F.col("at") + F.col("weight") / 2
-    choices = F.broadcast(table.groupBy("turn").agg(F.collect_list(F.struct("hi", "lo", "split_name")).alias("choices")).join(last, "turn"))
-    chosen = lined.join(choices, "turn").select(
-        "group", F.coalesce(F.element_at(F.filter("choices", lambda c: (c.lo <= mid) & (mid < c.hi)), 1)["split_name"], F.col("fallback")).alias("split_name")
-    )
-    return chosen.unionByName(done)
+        key = waiting[lab].pop()
+        vector = vectors[key]
+        room = [s for s in splits if need[lab][s[0]] >= vector[lab] and need[None][s[0]] >= vector[None]]
+        if room:
+            split = max(room, key=lambda s: (need[lab][s[0]] / s[1], need[None][s[0]] / s[1], s))[0]
+        else:
+            split = max(splits, key=lambda s: (need[None][s[0]] > 0, need[lab][s[0]], need[None][s[0]], s[0]))[0]
+        placed[key] = split
+        for x, n in vector.items():
+            need[x][split] -= n
+            left[x] -= n
+    return placed
 
 
 class GroupedSplit:
