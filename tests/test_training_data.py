@@ -117,6 +117,13 @@ def test_chain():
     assert chain_and_extend(a, b, []) == 0
 
 
+def test_chain_looks_back_over_all_seeds():
+    turned = [f"j{i}" for i in range(250)]
+    a, b = [*"abc", *turned, *"def"], [*"abcdef", *turned[::-1]]
+    seeds = [(i, b.index(w)) for i, w in enumerate(a)]
+    assert chain_and_extend(a, b, seeds) == 6
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7), (None, 3)] + [(500, 600 + i) for i in range(40)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src bigint, dst bigint")).collect()}

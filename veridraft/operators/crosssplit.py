@@ -12,7 +12,8 @@ empty tables give empty results; other columns are not looked at.
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_left
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +32,16 @@ def chain_and_extend(a: list, b: list, seeds: list) -> int:
     seeds: (place in a, place in b). The gaps between chained seeds are filled by exact matches
     to the left and right (greedy alignment without shift).
     """
-    seeds = sorted(set(seeds))
+    seeds = sorted(set(seeds), key=lambda s: (s[0], -s[1]))
     if not seeds:
         return 0
-    length, back = [1] * len(seeds), [-1] * len(seeds)
-    for i, (x, y) in enumerate(seeds):
-        for j in range(max(0, i - 200), i):
-            if seeds[j][0] < x and seeds[j][1] < y and length[j] + 1 > length[i]:
-                length[i], back[i] = length[j] + 1, j
-    i = int(np.argmax(length))
+    # The longest increasing run of places in b, over all seeds: of the chains of k + 1 seeds, ends[k] is the least last place in b, tops[k] its seed.
+    ends, tops, back = [], [], []
+    for i, (_, y) in enumerate(seeds):
+        k = bisect_left(ends, y)
+        back.append(tops[k - 1] if k else -1)
+        ends[k : k + 1], tops[k : k + 1] = [y], [i]
+    i = tops[-1]
     chain = []
     while i >= 0:
         chain.append(seeds[i])
