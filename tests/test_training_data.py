@@ -111,6 +111,21 @@ def test_crosssplit_against_brute_force(spark):
     assert all(0 < r.coverage <= 1 for r in op.concerned().collect())
 
 
+def test_report_counts_a_sentence_in_each_of_its_sources(spark, tmp_path):
+    from veridraft.plans.training_data import QUERIES
+
+    t = "the red pump of valve seven must be closed before the shift"
+    for name, columns, rows in (
+        ("source_document", "doc_id string, source string", [("d1", "alpha"), ("d2", "Beta "), ("d3", "alpha"), ("d4", "gamma")]),
+        ("sentence", "sentence_id string, doc_id string, text string", [("h", "d1", t), ("h", "d2", t), ("h", "d3", t), ("t", "d4", t)]),
+        ("classifier_split", "sentence_id string, split_name string", [("h", "test"), ("t", "train")]),
+        ("rewrite_pairs", "pair_id bigint, source string, source_text string, split_name string", [(1, "made", t, "val"), (2, "made", t, "train")]),
+    ):
+        spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["p1_report"](spark, str(tmp_path)).collect())
+    assert got == [("rewrite_pairs", "val", "made", 1, 1.0), ("sentence", "test", "alpha", 1, 1.0), ("sentence", "test", "beta", 1, 1.0)]
+
+
 def test_chain():
     a, b = list("abcdefgh"), list("abXdefgh")
     assert chain_and_extend(a, b, [(0, 0), (3, 3)]) == 7

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.crosssplit import CrossSplitOverlap
 from ..operators.grouping import GroupedSplit, document_groups
 from ..operators.neardup import NearDuplicates
-from ..runtime import spread, table
+from ..runtime import cut, spread, table
 from ..sources.corpus import segmented
 
 REALMS = ("sentence", "rewrite_pairs")
@@ -34,14 +34,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out records with an overlap, and their mean coverage, per table, split and source."""
-    found = _p1(spark, d).concerned()
+    """Held-out records with an overlap, and their mean coverage, per table, split and source; a sentence of several sources counts in each."""
+    found = cut(_p1(spark, d).concerned())
     names = table(spark, d, "source_document").where("doc_id is not null").groupBy("doc_id").agg(F.min(F.lower(F.trim("source"))).alias("named"))
+    # A sentence stands in every source that has a document with it.
+    stands = segmented(spark, d).select(F.col("sentence_id").alias("rid"), "doc_id").join(found.where("realm = 0").select("rid").distinct(), "rid", "left_semi").distinct()
+    named = stands.join(names, "doc_id", "left").select("rid", F.col("named").alias("source")).distinct()
+    sentences = found.where("realm = 0").drop("source").join(named, "rid")
     return (
-        found.join(names, (F.col("realm") == 0) & (F.col("source") == F.col("doc_id")), "left")
-        .select(_realm().alias("rec_table"), "split", F.when(F.col("realm") == 0, F.col("named")).otherwise(F.col("source")).alias("source"), "coverage")
-        .groupBy("rec_table", "split", "source")
-        .agg(F.count(F.lit(1)).alias("records"), F.round(F.avg("coverage"), 4).alias("mean_coverage"))
+        sentences.unionByName(found.where("realm = 1"))
+        .groupBy(_realm().alias("rec_table"), "split", "source")
+        .agg(F.countDistinct("rid").alias("records"), F.round(F.avg("coverage"), 4).alias("mean_coverage"))
     )
 
 
