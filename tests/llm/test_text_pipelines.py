@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from veridraft.functions.canonical import canonical_text
+from veridraft.llm.canonical import canonical_text
 from veridraft.llm import boosting, bpe, conduct, lookalike, mixing, pairs, repetition, sentences
 
 SF = "/root/testdata/sf0.001"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.canonical import canonical_text
+from .canonical import canonical_text
 from ..runtime import cut
 from .boosting import fit_calibrated, probability
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, spread, table
 from ..sources.corpus import intake, segmented
-from . import bpe, conduct, lookalike, mixing, pairs, repetition, sentences
+from . import bpe, conduct, lookalike, mixing, pairs, records, repetition, sentences
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -76,6 +76,6 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return conduct.rates(_conduct(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_forms, p3_found, p4_found, p6_found, p6_shares, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
+QUERIES = records.QUERIES | {f.__name__: f for f in (p2_found, p2_forms, p3_found, p4_found, p6_found, p6_shares, p8_ids, p9_mix, p9_shares, p10_found, p10_scores, p10_rates)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**records.ORACLES}

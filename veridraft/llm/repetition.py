@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.canonical import consistent_form, words
-from ..operators.winnowing import rolling_hashes
+from .canonical import consistent_form, words
+from .winnowing import rolling_hashes
 from ..runtime import cut, once
 
 RUN, BLOCK, CELL = 12, 1024, 8192
