@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import reference, training_data
+from . import reference
 
-_MODULES = [reference, training_data]
+_MODULES = [reference]
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
