@@ -23,6 +23,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def evenly(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many parts as the session's shuffles have. For rows that grow when they are unfolded: the number is asked for, so it is not lowered by their size before."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def once(value: Column, name: str) -> Column:
     """``value`` as a generated column: later filters and projections use it without computing it again."""
     return F.explode(F.array(value)).alias(name)
