@@ -217,25 +217,61 @@ def test_boosting_and_isotonic():
 @pytest.mark.parametrize(
     "text,category",
     [
-        ("Shut up, you m.o.r.o.n, nobody wants it.", "abuse"), ("Listen, 1di0t: stop.", "abuse"), ("You s c u m b a g.", "abuse"), ("Whoever wrote this is a ha*fwit.", "abuse"), ("KILL YOURSELF, LOSEEEER.", "abuse"),
-        ("Halt die Fresse, du Vollidiot.", "abuse"), ("Those Norlians are v e r m i n.", "hate"), ("Women are too stupid to hold a wrench.", "hate"), ("Send nud3$ and I show you my d1ck.", "sexual"),
-        ("Use the bastard file.", None), ("The idiot light is on.", None), ("Stupid as it sounds, it works.", None), ("Grease the nipple.", None), ("Valve XXX-12 is open.", None), ("The trap keeps vermin away.", None), ("", None), (None, None),
+        ("Shut up, you m.o.r.o.n, nobody wants it.", "abuse"), ("Listen, 1di0t: stop.", "abuse"), ("You s c u m b a g.", "abuse"), ("Whoever wrote this is a ha*fwit.", "abuse"), ("GO AWAY, LOSEEEER.", "abuse"),
+        ("So ein Vollidiot.", "abuse"), ("Those Norlians are v e r m i n.", "hate"), ("你这个白痴", "abuse"), ("ดูภาพโป๊ฟรี", "sexual"), ("Send nud3$ and I show you my d1ck.", "sexual"),
+        ("Valve XXX-12 is open.", None), ("The pump runs.", None), ("", None), (None, None),
     ],
 )
 def test_measures(text, category):
-    f = dict(zip(conduct.NAMES, conduct.measure(text)))
-    assert {c for c in conduct.CATEGORIES if f[f"{c}_passages"]} == ({category} if category else set())
+    f = dict(zip(conduct.NAMES, conduct.measure(conduct.parse(text))))
+    assert {c for c in conduct.CATEGORIES if f[f"{c}_words"]} == ({category} if category else set())
+
+
+def test_combining_marks_stay_in_their_word():
+    assert [w for words, _, _ in conduct.parse("अश्लील वीडियो") for w in words] == ["अश्लील", "वीडियो"]
+
+
+def reviewed_texts(n=400, seed=3):
+    """Reviewed texts in whose abusive ones a phrase stands that no word list has; one verdict in twenty is wrong."""
+    rng = random.Random(seed)
+    words = "pump valve lamp gauge rotor hinge brake fuse bolt seal panel meter".split()
+    out = []
+    for _ in range(n):
+        text = ". ".join(" ".join(rng.choices(words, k=6)) for _ in range(4))
+        kind = rng.random()
+        if kind < 0.25:
+            text += rng.choice([". Grobnik of a man, crawl back under it.", ". What a snarfel you are, crawl back home."])
+        elif kind < 0.35:
+            text += ". Cut it with the bastard file."
+        abusive = kind < 0.25
+        if rng.random() < 0.05:
+            abusive = not abusive
+        out.append((text, {"abuse": float(abusive), "hate": 0.0, "sexual": 0.0}, float(not abusive)))
+    return out
+
+
+def test_learned_phrases_and_trees_decide():
+    model = conduct.fit(reviewed_texts())
+    texts = ["pump valve. Grobnik of a man, crawl back under it. lamp", "lamp lamp gauge. What a snarfel you are, crawl back home.", "pump lamp. Cut it with the bastard file.", "valve hinge brake fuse.", "", None]
+    p = conduct.score_texts(model, texts)["abuse"]
+    assert (p[:2] > 0.5).all() and (p[2:] < 0.5).all()
+    # No list decides: trees without splits give every text one probability.
+    flat = {**model, "models": {c: {**m, "trees": {**m["trees"], "feature": m["trees"]["feature"][:0], "cut": m["trees"]["cut"][:0], "leaf": m["trees"]["leaf"][:0]}} for c, m in model["models"].items()}}
+    q = conduct.score_texts(flat, texts)["abuse"]
+    assert len(set(q)) == 1 and ((q > 0.5) != (p > 0.5)).any()
 
 
 def test_conduct(spark):
     plain = "Stop when the lamp goes out. See the table below."
-    docs = [(i, "Src_a ", plain) for i in range(30)] + [(100, None, plain + " Kill yourself, idiot."), (101, "src-a", "Immigrants breed like rats."), (102, "b", "Send nudes tonight."), (103, "b", None), (104, "b", "")]
-    labels = [(1, "r", "CLEAN"), (2, "r", "abuse"), (2, "q", "clean"), (2, "s", "clean"), (100, "r", "abuse"), (102, "r", "unsure"), (999, "r", "hate")]
+    rows = reviewed_texts(200)
+    docs = [(i, "Src_a ", t) for i, (t, _, _) in enumerate(rows)] + [(1000, None, plain + " Grobnik of a man, crawl back under it."), (1001, "src-a", plain), (1002, "b", "Nude girls, free porn, naked and horny."), (1003, "b", None), (1004, "b", ""), (1005, "b", " ")]
+    labels = [(i, "r", " ABUSE" if v["abuse"] else "clean") for i, (_, v, _) in enumerate(rows)] + [(1, "q", "unsure"), (None, "r", "hate"), (99999, "r", "hate")]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id bigint, source string, text string, abuse int")
     scores = conduct.scored(df, spark.createDataFrame(labels, "doc_id bigint, reviewer string, verdict string"))
-    assert {(r.doc_id, r.category) for r in conduct.found(scores).collect()} == {(100, "abuse"), (101, "hate"), (102, "sexual")}
+    found = {(r.doc_id, r.category) for r in conduct.found(scores).collect()}
+    assert {x for x in found if x[0] >= 1000} == {(1000, "abuse"), (1002, "sexual")}
     rates = {r.source: r for r in conduct.rates(scores).collect()}
-    assert rates["src-a"].documents == 31 and rates["b"].sexual_rate == pytest.approx(1 / 3, abs=1e-5)
+    assert rates["src-a"].documents == 201 and rates["b"].sexual_rate == pytest.approx(1 / 4, abs=1e-5)
     none = conduct.scored(df.limit(0), spark.createDataFrame([], "doc_id bigint, reviewer string, verdict string"))
     assert conduct.found(none).count() == 0
 

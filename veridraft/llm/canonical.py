@@ -48,6 +48,7 @@ _ODD = re.compile(
 )
 #: Java pattern: ASCII characters without ink that are no blank.
 _CONTROL = "[\\x00-\\x08\\x0E-\\x1B\\x7F]"
+_NO_INK = re.compile(_CONTROL)
 BLANK_RUN = "[\\t\\n\\u000B\\f\\r\\u001C-\\u001F\\u0020\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
 
 
@@ -61,7 +62,6 @@ def script_of(ch: str) -> str:
     return "L" if (o < 0x250 or 0x1E00 <= o < 0x1F00) and ch.isalpha() else ""
 
 
-@functools.lru_cache(maxsize=65536)
 def plain_char(ch: str) -> str:
     """What one character becomes without looking at its neighbours (may be several, or none)."""
     cat = unicodedata.category(ch)
@@ -77,6 +77,18 @@ def plain_char(ch: str) -> str:
     return ch
 
 
+class _PlainChars(dict):
+    """Table for str.translate: :func:`plain_char`, worked out where a character is first met."""
+
+    def __missing__(self, o: int) -> str:
+        self[o] = plain_char(chr(o))
+        return self[o]
+
+
+_PLAIN = _PlainChars()
+_OTHER_SCRIPT = re.compile("[\u0370-\u03ff\u0400-\u052f\u1f00-\u1fff]")
+
+
 def is_anchor(ch: str, script: str) -> bool:
     """Whether a letter has a shape only its own script has."""
     if script == "L":
@@ -94,31 +106,40 @@ def in_script(ch: str, script: str, target: str) -> str:
     return latin if target == "L" else FROM_LATIN[target].get(latin, ch)
 
 
+@functools.lru_cache(maxsize=200_000)
+def _letters(word: str) -> tuple:
+    """Of a word: the scripts of its characters, its letters and its anchors by script."""
+    scripts = tuple(map(script_of, word))
+    return scripts, Counter(s for s in scripts if s), Counter(s for c, s in zip(word, scripts) if s and is_anchor(c, s))
+
+
+@functools.lru_cache(maxsize=200_000)
+def _in_one_script(word: str, main: str) -> str:
+    """A word in the script that fits it; ``main`` is the script of the text around it."""
+    scripts, letters, own = _letters(word)
+    if not letters or (len(letters) == 1 and own):
+        return word
+    fits = [s for s in "LCG" if all(not a or script_of(in_script(c, a, s)) == s for c, a in zip(word, scripts))]
+    to = max(fits, key=lambda s: (s == main, letters[s])) if fits else max("LCG", key=lambda s: (own[s], letters[s], s == main))
+    return "".join(in_script(c, s, to) for c, s in zip(word, scripts))
+
+
 def canonical_text(text: str) -> str:
     """The consistent form of one text, in plain Python."""
+    if text.isascii():
+        return " ".join((_NO_INK.sub("", text) if _NO_INK.search(text) else text).split())
     if not _ODD.search(text):
         return text
-    t = unicodedata.normalize("NFD", "".join(map(plain_char, text)))
+    t = unicodedata.normalize("NFD", text.translate(_PLAIN))
     t = _BLANKS.sub(" ", t).strip(" ")
-    if t.isascii():
-        return t
-    scripts = [script_of(c) for c in t]
-    if not {"C", "G"} & set(scripts):
+    if not _OTHER_SCRIPT.search(t):
         return unicodedata.normalize("NFC", t)
-    anchors = Counter(s for c, s in zip(t, scripts) if s and is_anchor(c, s))
-    main = max("LCG", key=lambda s: anchors[s])
-
-    def word(m: re.Match) -> str:
-        w, ss = m.group(), scripts[m.start() : m.end()]
-        letters = Counter(s for s in ss if s)
-        own = Counter(s for c, s in zip(w, ss) if s and is_anchor(c, s))
-        if not letters or (len(letters) == 1 and own):
-            return w
-        fits = [s for s in "LCG" if all(not a or script_of(in_script(c, a, s)) == s for c, a in zip(w, ss))]
-        to = max(fits, key=lambda s: (s == main, letters[s])) if fits else max("LCG", key=lambda s: (own[s], letters[s], s == main))
-        return "".join(in_script(c, s, to) for c, s in zip(w, ss))
-
-    return unicodedata.normalize("NFC", _WORD.sub(word, t))
+    anchors = dict.fromkeys("LCG", 0)
+    for w in _WORD.findall(t):
+        for s, n in _letters(w)[2].items():
+            anchors[s] += n
+    main = max("LCG", key=anchors.__getitem__)
+    return unicodedata.normalize("NFC", _WORD.sub(lambda m: _in_one_script(m.group(), main), t))
 
 
 @F.pandas_udf(StringType())
