@@ -127,7 +127,7 @@ def _in_one_script(word: str, main: str) -> str:
 def canonical_text(text: str) -> str:
     """The consistent form of one text, in plain Python."""
     if text.isascii():
-        return " ".join((_NO_INK.sub("", text) if _NO_INK.search(text) else text).split())
+        return " ".join((text if text.isprintable() else _NO_INK.sub("", text)).split())
     if not _ODD.search(text):
         return text
     t = unicodedata.normalize("NFD", text.translate(_PLAIN))

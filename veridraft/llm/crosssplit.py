@@ -1,9 +1,12 @@
 """Records held out for evaluation that also stand, word for word or nearly, in the training split.
 
-Winnowing fingerprints of the held-out texts are joined with those of the training texts (with
-the lossless bit filter of ``wordsets`` in the join, so a phrase of a whole template costs no
-output); the seeds of each surviving pair are chained in line and extended by alignment, which
-gives the coverage of the held-out record; the overlap of the whole word sets decides.
+Winnowing fingerprints of the held-out texts meet those of the training texts in one sorted pass
+(``pairing``, with the lossless bit filter of ``wordsets``, so a phrase of a whole template costs no
+output; a hot fingerprint is cut into blocks); the seeds of each surviving pair are chained in line
+and extended by alignment, which gives the coverage of the held-out record; the overlap of the
+whole word sets decides. Texts of the same words in the same order are one class and cover each
+other wholly. Texts of the same words in another order that share no fingerprint are aligned too,
+seeded by their common words, with one training text of that set.
 
 Edge cases: records without split, or whose texts are null, empty or under eight words, are never
 concerned; repeated rows and repeated texts count once (texts are compared as distinct classes);
@@ -18,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .canonical import consistent_form, words
 from ..runtime import cut, once, small_or_plain
-from .winnowing import fingerprints, gram_sketch
-from .wordsets import MIN_WORDS, OVERLAP, at_least, images_may_overlap, set_image
+from .pairing import number_of_parts, pairs_by_key
+from .winnowing import FINGERPRINTS, fingerprints, gram_sketch
+from .wordrows import hashed_words
+from .wordsets import MIN_WORDS, OVERLAP, may_overlap, overlapping
 
 TRAIN, HELD_OUT = "train", ("val", "test")
 
@@ -56,62 +60,76 @@ def chain_and_extend(a: list, b: list, seeds: list) -> int:
     return len(covered)
 
 
-def prepare(records: DataFrame) -> DataFrame:
-    """records: realm, rid, split, source, text. Those of at least eight words, with seq: their words in order, as 32-bit hashes."""
-    formed = records.select("realm", "rid", "split", "source", once(words(consistent_form(F.col("text"))), "_w"))
-    return formed.where(F.size("_w") >= MIN_WORDS).select("realm", "rid", "split", "source", F.transform("_w", lambda w: F.hash(w)).alias("seq"))
-
-
 def with_keys(rows: DataFrame) -> DataFrame:
-    """Adds wset, k1, k2 and image (of the word set) and c1 (of the sequence). Made when read, so the table need not hold them."""
+    """Adds wset, k1, k2 (of the word set) and c1 (of the sequence). Made when read, so the table need not hold them."""
     sets = rows.select("*", once(F.array_sort(F.array_distinct("seq")), "wset"))
-    return sets.withColumns({"k1": F.xxhash64("realm", "wset"), "k2": F.xxhash64("wset", "realm"), "image": set_image(F.col("wset")), "c1": F.xxhash64("realm", "seq")})
+    return sets.withColumns({"k1": F.xxhash64("realm", "wset"), "k2": F.xxhash64("wset", "realm"), "c1": F.xxhash64("realm", "seq")})
+
+
+def seed_pairs(texts: DataFrame, sketch, overlap: float = OVERLAP) -> DataFrame:
+    """texts: c1, realm, train, held, seq. a, b, i, j: places of a common fingerprint of a held-out and a training text of one realm."""
+
+    def sides(columns):
+        return (columns[3] & 1).astype(bool), (columns[3] & 2).astype(bool)
+
+    def match(columns, x, y):
+        _, c1, image, place = columns
+        near = (c1[x] != c1[y]) & may_overlap(image[x], image[y], overlap)
+        x, y = x[near], y[near]
+        return [c1[x], c1[y], place[x] >> 2, place[y] >> 2]
+
+    parts = number_of_parts(texts, int(sketch.sum()) // 2)
+    return pairs_by_key(fingerprints(texts, sketch, parts), FINGERPRINTS, match, "a bigint, b bigint, i bigint, j bigint", parts, sides=sides)
 
 
 class CrossSplitOverlap:
     """Cross-split overlaps of ``records`` (realm, rid, split, source, text); realms are kept apart."""
 
     def __init__(self, records: DataFrame, overlap: float = OVERLAP):
-        self.rows = with_keys(cut(prepare(records.where(F.col("split").isin(TRAIN, *HELD_OUT)))))
+        known = records.where(F.col("split").isin(TRAIN, *HELD_OUT))
+        self.rows = with_keys(cut(hashed_words(known, "text", ["realm", "rid", "split", "source"], MIN_WORDS)))
         is_train = F.col("split") == TRAIN
         #: distinct texts by side; c1 is the key of a text, k1 and k2 of its word set
-        self.texts = self.rows.groupBy("c1").agg(
-            *[F.first(c).alias(c) for c in ("realm", "k1", "image", "seq")], F.bool_or(is_train).alias("train"), F.bool_or(~is_train).alias("held")
-        )
-        sketch = gram_sketch(self.rows)
-        marks = fingerprints(self.texts, sketch, ["c1", "realm", "k1", "image", "train", "held"])
-        rows = marks.select("c1", "realm", "k1", "image", "train", "held", F.explode("marks").alias("m")).select("*", F.col("m.gram").alias("gram"), F.col("m.place").alias("place"))
-        held, train = rows.where("held").drop("train", "held", "m").alias("x"), rows.where("train").drop("train", "held", "m").alias("y")
-        seeds = cut(
-            held.join(train, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.realm") == F.col("y.realm")) & (F.col("x.k1") != F.col("y.k1")) & images_may_overlap(F.col("x.image"), F.col("y.image"), overlap))
-            .groupBy(F.col("x.c1").alias("a"), F.col("y.c1").alias("b"))
-            .agg(F.collect_set(F.struct(F.col("x.place").alias("i"), F.col("y.place").alias("j"))).alias("seeds"))
-        )
+        self.texts = self.rows.groupBy("c1").agg(*[F.first(c).alias(c) for c in ("realm", "k1", "k2", "seq")], F.bool_or(is_train).alias("train"), F.bool_or(~is_train).alias("held"))
+        texts = cut(self.texts)
+        by_mark = seed_pairs(texts, gram_sketch(self.rows), overlap).groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("seeds"))
+        sets = texts.groupBy("k1", "k2").agg(F.min(F.when(F.col("train"), F.col("c1"))).alias("b")).where("b is not null")
+        by_set = texts.where("held and not train").join(sets, ["k1", "k2"]).select(F.col("c1").alias("a"), "b", F.array().cast("array<struct<i:bigint,j:bigint>>").alias("seeds"))
+        seeds = cut(by_mark.unionByName(by_set))
         ends = seeds.select(F.col("a").alias("c1")).unionByName(seeds.select(F.col("b").alias("c1"))).distinct()
-        texts = cut(self.rows.select("c1", "seq", "wset").join(small_or_plain(ends), "c1", "left_semi").groupBy("c1").agg(F.first("seq").alias("seq"), F.first("wset").alias("wset")))
-        x, y = texts.alias("x"), texts.alias("y")
-        near = (
+        met = cut(texts.select("c1", "seq", F.array_distinct("seq").alias("wset")).join(small_or_plain(ends), "c1", "left_semi"))
+        x, y = met.alias("x"), met.alias("y")
+        both = (
             seeds.join(x, F.col("a") == F.col("x.c1"))
             .select("a", "b", "seeds", F.col("x.seq").alias("aseq"), F.col("x.wset").alias("aset"))
             .join(y, F.col("b") == F.col("y.c1"))
-            .where(at_least(F.col("aset"), F.col("y.wset"), overlap))
-            .select("a", "b", "seeds", "aseq", F.col("y.seq").alias("bseq"))
+            .select("a", "b", "seeds", "aseq", "aset", F.col("y.seq").alias("bseq"), F.col("y.wset").alias("bset"))
         )
+        near = overlapping(both, "aset", "bset", ["a", "b", "seeds", "aseq", "bseq"], overlap)
         self.pairs = cut(near.mapInArrow(_coverage, "a bigint, b bigint, coverage double"))
+        #: texts that stand on both sides word for word
+        self.equal = texts.where("held and train").select("c1")
 
     def concerned(self) -> DataFrame:
         """realm, rid, split, source, coverage of each held-out record with a training record that overlaps."""
-        equal = self.rows.groupBy("k1", "k2").agg(F.bool_or(F.col("split") == TRAIN).alias("t"), F.bool_or(F.col("split") != TRAIN).alias("h")).where("t and h").select("k1", "k2")
-        held = self.rows.where(F.col("split") != TRAIN).select("realm", "rid", "split", "source", "k1", "k2", "c1")
-        by_set = held.join(equal, ["k1", "k2"], "left_semi").select("realm", "rid", "split", "source", F.lit(1.0).alias("coverage"))
-        best = self.pairs.groupBy(F.col("a").alias("c1")).agg(F.max("coverage").alias("coverage"))
-        by_seed = held.join(best, "c1").select("realm", "rid", "split", "source", "coverage")
-        return by_set.unionByName(by_seed).groupBy("realm", "rid").agg(F.first("split").alias("split"), F.first("source").alias("source"), F.max("coverage").alias("coverage"))
+        held = self.rows.where(F.col("split") != TRAIN).select("realm", "rid", "split", "source", "c1")
+        covered = self.pairs.select(F.col("a").alias("c1"), "coverage").unionByName(self.equal.select("c1", F.lit(1.0).alias("coverage")))
+        best = covered.groupBy("c1").agg(F.max("coverage").alias("coverage"))
+        found = held.join(best, "c1").select("realm", "rid", "split", "source", "coverage")
+        return found.groupBy("realm", "rid").agg(F.first("split").alias("split"), F.first("source").alias("source"), F.max("coverage").alias("coverage"))
+
+
+def _common_words(a: list, b: list) -> list:
+    """Seeds of two texts without a common fingerprint: the places of each common word."""
+    places: dict = {}
+    for j, w in enumerate(b):
+        places.setdefault(w, []).append(j)
+    return [(i, j) for i, w in enumerate(a) for j in places.get(w, ())]
 
 
 def _coverage(batches):
     for batch in batches:
         a, b = batch.column("aseq").to_pylist(), batch.column("bseq").to_pylist()
         seeds = batch.column("seeds").to_pylist()
-        share = [chain_and_extend(x, y, [(s["i"], s["j"]) for s in z]) / len(x) for x, y, z in zip(a, b, seeds)]
+        share = [chain_and_extend(x, y, [(s["i"], s["j"]) for s in z] or _common_words(x, y)) / len(x) for x, y, z in zip(a, b, seeds)]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], names=["a", "b", "coverage"])

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import sketch_count
 from .bagminhash import _mix
+from .pairing import BLOCK, Packer
+from .wordrows import distinct_sorted
+from .wordsets import images_of
 
 GRAM, WINDOW = 2, 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -80,19 +83,26 @@ def gram_sketch(rows: DataFrame, col: str = "seq", bits: int = 16):
     return out
 
 
-def fingerprints(rows: DataFrame, sketch, keep: list[str], col: str = "seq") -> DataFrame:
-    """keep, and marks: array of (gram hash, place)."""
-    held = rows.sparkSession.sparkContext.broadcast(sketch)
-    schema = rows.select(*keep).schema.simpleString()[7:-1].replace(":", " ")
+FINGERPRINTS = "gram bigint, c1 bigint, image bigint, place bigint"
+
+
+def fingerprints(texts: DataFrame, sketch, parts: int) -> DataFrame:
+    """Packed rows (FINGERPRINTS) of texts (c1, realm, train, held, seq): a selected gram (of its realm), the text, the image of
+    its word set, and four times its place, plus 2 for a training and 1 for a held-out text. Texts have a word at least."""
+    held = texts.sparkSession.sparkContext.broadcast(sketch)  # 1 MB whatever the data
 
     def run(batches):
+        packer = Packer(["bigint"] * 4, parts)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values, offsets = _flat(batch.column(len(keep)))
+            c1, realm, train, kept = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            values, offsets = _flat(batch.column(4))
             row, place, h = select_minima(values, offsets, held.value)
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            marks = pa.StructArray.from_arrays([pa.array(h), pa.array(place.astype(np.int32))], names=["gram", "place"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(at), marks)], names=[*keep, "marks"])
+            with np.errstate(over="ignore"):
+                gram = _mix(h.view(np.uint64) + realm[row].view(np.uint64)).view(np.int64)
+            images = images_of(*distinct_sorted(values, offsets))
+            yield from packer.add([gram, c1[row], images[row], place * 4 + (2 * train + kept)[row]])
+        yield from packer.flush()
 
-    return rows.select(*keep, col).mapInArrow(run, f"{schema}, marks array<struct<gram:bigint,place:int>>")
+    return texts.select("c1", "realm", "train", "held", "seq").mapInArrow(run, BLOCK)

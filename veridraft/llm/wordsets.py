@@ -2,37 +2,47 @@
 
 The overlap of two texts is |A and B| / |A or B| over their distinct words. Two sets of overlap
 at least t differ in at most (1-t)/(1+t) * (|A|+|B|) words, and two 56-bit images of the sets
-differ in no more bits than the sets in words. So ``images_may_overlap`` rejects no true pair, and costs
+differ in no more bits than the sets in words. So ``may_overlap`` rejects no true pair, and costs
 one XOR and one population count per candidate, within the join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS = 8
 OVERLAP = 0.8
 
 
-def word_set(words: Column) -> Column:
-    """Sorted distinct 64-bit hashes of the words."""
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+def common_words(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """Number of common members of the sets of 32-bit hashes in each row of two list columns."""
 
+    def keyed(lists):
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
+        return (np.repeat(np.arange(len(lists), dtype=np.int64), np.diff(offsets)) << 32) | (values + (1 << 31))
 
-def overlap(a: Column, b: Column) -> Column:
-    """Exact overlap of two set columns."""
-    common = F.size(F.array_intersect(a, b))
-    return common / (F.size(a) + F.size(b) - common)
+    both = np.sort(np.concatenate([keyed(a), keyed(b)]))
+    return np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=len(a))
 
 
-def at_least(a: Column, b: Column, t: float = OVERLAP) -> Column:
-    return overlap(a, b) >= F.lit(t - 1e-9)
+def overlapping(df: DataFrame, a: str, b: str, keep: list, t: float = OVERLAP) -> DataFrame:
+    """The columns ``keep`` of the rows whose sets ``a`` and ``b`` (array<int>, distinct) overlap by ``t`` or more: |A and B| (1 + t) >= t (|A| + |B|)."""
+    low = t - 1e-9
+    inner = [c for c in df.columns if c in keep or c in (a, b)]
 
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = batch.column(inner.index(a)), batch.column(inner.index(b))
+            sizes = np.diff(x.offsets.to_numpy().astype(np.int64)) + np.diff(y.offsets.to_numpy().astype(np.int64))
+            yield batch.filter(pa.array(common_words(x, y) * (1 + low) >= sizes * low)).select(keep)
 
-def narrow_set(wset: Column) -> Column:
-    """32-bit hashes of the words (two words of a pair of texts agree by chance once in some 10**7 pairs)."""
-    return F.transform(wset, lambda h: F.call_function("shiftright", h, F.lit(32)).cast("int"))
+    return df.select(*inner).mapInArrow(run, df.select(*keep).schema)
 
 
 def spread_hash(words32: Column) -> Column:
@@ -47,14 +57,18 @@ def hash_again(words32):
     return (wide << 32) ^ (wide & 0xFFFF)
 
 
-def set_image(wset: Column) -> Column:
-    """56 bits of the set and, in the top 8, its size (255: that or more)."""
-    bits = F.aggregate(wset, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(x, F.lit(56)).cast("int"))))
-    return bits.bitwiseOR(F.call_function("shiftleft", F.least(F.size(wset), F.lit(255)).cast("bigint"), F.lit(56)))
+_BITS = (1 << 56) - 1
 
 
-def images_may_overlap(a: Column, b: Column, t: float = OVERLAP) -> Column:
-    """False only for pairs whose overlap is surely under ``t``; sets of 255 words and more always may."""
-    size = [F.shiftrightunsigned(x, 56) for x in (a, b)]
-    differ = F.bit_count(a.bitwiseXOR(b).bitwiseAND(F.lit((1 << 56) - 1)))
-    return (differ <= (size[0] + size[1]) * F.lit((1 - t) / (1 + t)) + F.lit(1e-6)) | (size[0] == 255) | (size[1] == 255)
+def images_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Images of non-empty sets given as flattened values: 56 bits of the set and, in the top 8, its size (255: that or more)."""
+    bits = np.left_shift(np.int64(1), np.mod(values.astype(np.int64), 56))
+    size = np.minimum(np.diff(offsets), 255)
+    return np.bitwise_or.reduceat(bits, offsets[:-1]) | np.left_shift(size.astype(np.int64), 56) if len(size) else np.empty(0, dtype=np.int64)
+
+
+def may_overlap(a: np.ndarray, b: np.ndarray, t: float = OVERLAP) -> np.ndarray:
+    """False only for pairs of images whose overlap is surely under ``t``; sets of 255 words and more always may."""
+    m, n = (a.view(np.uint64) >> np.uint64(56)).astype(np.int64), (b.view(np.uint64) >> np.uint64(56)).astype(np.int64)
+    differ = np.bitwise_count((a ^ b) & _BITS)
+    return (differ <= (m + n) * ((1 - t) / (1 + t)) + 1e-6) | (m == 255) | (n == 255)
