@@ -1,11 +1,14 @@
 """Sentence units of unsegmented blocks, across languages and scripts.
 
-Document-centred disambiguation: first every row gives evidence about the words that stand before
-a period (followed by a lower-case word or a comma: an abbreviation; standing without a period:
-none). The evidence is summed for (document, word) and for the word over the corpus; a word is
-taken for an abbreviation of a document if its own unambiguous occurrences there say so, else if
-those of the corpus do, else if it stands in the list of known ones. Then each block is cut, with
-terminator rules for each script.
+Document-centred disambiguation. A period before a word in upper case or a number is ambiguous
+where the word before it may be an abbreviation. Every row first gives evidence: for a word before
+such a period, how often it stands before a period that surely ends nothing (a lower-case word or a
+comma follows: an abbreviation) and how often without one; for the word after it, how often it is
+capitalised in mid-sentence (a proper name or noun) and how often in lower case. The evidence of
+the document decides; where it is silent or torn, that of the corpus; where that is silent too, the
+lists of known abbreviations. After an abbreviation a common word begins a sentence and a name
+does not; where nothing is known of that word, the kind of the abbreviation decides. Then each
+block is cut, with terminator rules for each script.
 
 Edge cases: null and blank texts give no unit; rows repeated whole count once; a text of any
 length is one row of one task; null offsets count from 0; no rows: an empty result.
@@ -16,16 +19,15 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
-
-# Abbreviations without their last period, lower case.
-TITLES = frozenset("dr mr mrs ms prof rev gen col capt sgt st sr sra srta dra hr fr mme mlle mgr κ δρ κα д г-н г-жа проф डॉ श्री श्रीमती د أ م".split())
-REFERENCES = frozenset("no nos nr fig figs abb bild tab tabl sec ch vol p pp pg pág págs art núm n.º nº n рис табл стр гл см ст ил σελ εικ".split())
-JOINING = frozenset(
-    "ca approx lt bzw vs cf e.g i.e z.b d.h u.a z d u v.a o.ä s.o s.u evtl ggf inkl max min mind gem vgl env aprox resp т т.е т.д т.п др напр π.χ δηλ κ.λπ г ex p.ex".split()
-)
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+
+# Abbreviations without their last period, lower case; only kinds that evidence can hardly settle:
+# titles (names follow, seen once), "no." (also a word), those before capitalised words, and those that may close a sentence.
+TITLES = frozenset("dr mr mrs ms prof rev st sr sra srta hr fr mme κ δρ г-н г-жа डॉ श्री د".split())
+REFERENCES = frozenset(["no"])
+JOINING = frozenset("bzw lt vs z".split())
 CLOSING = frozenset("etc usw a.m p.m inc corp ltd co llc plc jr bros".split())
 MONTHS = frozenset("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 
@@ -35,7 +37,12 @@ STOPS = ".!?…。！？।॥؟．｡"
 WIDE_STOPS = "。！？｡"
 _HEADING = re.compile(r"[ \t]{0,3}#{1,6}[ \t]+\S")
 _ITEM = re.compile(r"[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+(?=\S)")
-_WORD_BEFORE = re.compile(r"[^\s(\[{«„“「『（\"'‘]+$")
+_WORD_STARTS = frozenset("([{«„“「『（\"'‘")
+_WORD = re.compile(r"[^\W\d_]+(?:\.[^\W\d_]+)*")
+_SHAPE = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+_FOLLOWS = re.compile(r"[^\s.,;:!?]+")
+_DIGIT = re.compile(r"\d")
+LISTED = TITLES | REFERENCES | JOINING | CLOSING
 _THAI = re.compile(r"[฀-๿]")
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 # Japanese particles and connectives that carry a sentence on after a quotation.
@@ -49,23 +56,74 @@ def _lower_start(text: str, at: int) -> bool:
 
 
 def _word_before(text: str, start: int, end: int) -> str:
-    m = _WORD_BEFORE.search(text[max(start, end - 40) : end])
-    return m.group() if m else ""
+    k = end
+    while k > start and not text[k - 1].isspace() and text[k - 1] not in _WORD_STARTS:
+        k -= 1
+    return text[k:end]
+
+
+def _capitalised(word: str) -> bool:
+    return word[:1].isupper() and not word[1:].isupper()
 
 
 def evidence(text: str) -> list:
-    """(word, 1 or 0): 1 for an occurrence that shows an abbreviation, 0 for one that shows a plain word."""
-    out = []
-    for m in re.finditer(r"([^\W\d_]{1,12}(?:\.[^\W\d_]{1,3})*)(\.?)(\s+|,|$)", text):
-        word, dot, gap = m.groups()
-        if dot:
-            if gap == "," or (gap and gap[0].isspace() and _lower_start(text, m.end())):
-                if m.start() and text[m.start() - 1] == ".":
-                    continue
-                out.append((word.lower(), 1))
-        elif gap != "":
-            out.append((word.lower(), 0))
-    return out
+    """(is_name, word, yes, no, asked) of each word of a text.
+
+    For abbreviations (is_name false) yes counts periods after the word that surely end nothing (a
+    lower-case word or a comma follows) or hardly do (a number follows), no its occurrences without
+    one, asked the ambiguous ones. For the words after those, yes counts
+    capitals in mid-sentence, no the occurrences in lower case.
+    """
+    seen: dict = {}
+
+    def add(is_name: bool, word: str, what: int) -> None:
+        seen.setdefault((is_name, word), [0, 0, 0])[what] += 1
+
+    for m in _WORD.finditer(text):
+        word, at, end = m.group(), m.start(), m.end()
+        low = word.lower()
+        if word[0].islower():
+            add(True, low, 1)
+        elif at > 1 and text[at - 1] == " " and (text[at - 2].islower() or text[at - 2] == ","):
+            add(True, low, 0)
+        if at and text[at - 1] == ".":
+            continue
+        if text[end : end + 1] != ".":
+            if text[end : end + 1] in ("", ",") or text[end].isspace():
+                add(False, low, 1)
+            continue
+        k = end + 1
+        while k < len(text) and text[k].isspace():
+            k += 1
+        if k == len(text) or (at > 1 and text[at - 1].isspace() and text[at - 2].isdigit()):
+            continue  # a unit after its number may well end a sentence
+        if text[end + 1] == "," or (k > end + 1 and _lower_start(text, k)):
+            add(False, low, 0)
+        elif k > end + 1:
+            after = _FOLLOWS.match(text, k)
+            add(False, low, 2)
+            if after and after.group()[0].isdigit():
+                add(False, low, 0)
+            elif after and _capitalised(after.group()):
+                add(True, after.group().lower(), 2)
+    return [(n, w, *counts) for (n, w), counts in seen.items()]
+
+
+SHORT = 3
+
+
+class Known:
+    """What the evidence says in a document: words that are abbreviations or plain, words that are names or common."""
+
+    __slots__ = ("abbreviations", "plain", "names", "common")
+
+    def __init__(self, told=()):
+        self.abbreviations, self.plain, self.names, self.common = set(), set(), set(), set()
+        for is_name, word, yes in told:
+            (self.names if is_name and yes else self.common if is_name else self.abbreviations if yes else self.plain).add(word)
+
+
+NOTHING = Known()
 
 
 def _matching(text: str, start: int, end: int) -> dict:
@@ -88,34 +146,37 @@ def _matching(text: str, start: int, end: int) -> dict:
     return pairs
 
 
-def _period_breaks(text: str, start: int, i: int, nxt: int, known: frozenset) -> bool:
+def _period_breaks(text: str, start: int, i: int, nxt: int, known: Known) -> bool:
     """Whether the period at ``i``, followed by blanks and a non-lower-case word at ``nxt``, ends a sentence."""
     word = _word_before(text, start, i)
     low = word.lower()
-    bare = low.rsplit(".", 1)[-1]
-    follows = re.match(r"[^\s.,;:!?]+", text[nxt:])
-    after = follows.group() if follows else ""
-    numeric = bool(re.search(r"\d", after))
-    if low in TITLES:
-        return False
     if len(word) == 1 and word.isalpha() and word.isupper():
         return False  # an initial
-    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word) and low not in CLOSING:
-        return False
-    if low in REFERENCES or bare in REFERENCES and "." in low:
-        return not numeric and low not in ("nr", "см", "рис", "табл", "fig", "pág", "núm")
-    if low in JOINING:
+    follows = _FOLLOWS.match(text, nxt)
+    after = follows.group() if follows else ""
+    if word.isdigit():
+        return after.lower() not in MONTHS
+    listed = low if low in LISTED else ""
+    numeric = bool(_DIGIT.search(after))
+    if low in known.plain and not numeric:
+        return True
+    if low not in known.abbreviations and not listed and not _SHAPE.fullmatch(word):
+        return True
+    # An abbreviation. What follows decides, by evidence first, then by the kind of abbreviation.
+    if _capitalised(after) and after.lower() in known.common and low not in TITLES:
+        return True
+    if _capitalised(after) and after.lower() in known.names and low not in CLOSING:
         return False
-    if low in CLOSING:
+    if listed in CLOSING:
         return not (low == "co" and after in ("KG", "KGaA", "OHG"))
-    if word.isdigit() and after.lower() in MONTHS:
+    if listed in REFERENCES:
+        return not numeric
+    if listed or _SHAPE.fullmatch(word):
         return False
-    if low in known:
-        return after[:1].isupper() and not numeric
-    return True
+    return after[:1].isupper() and not numeric
 
 
-def cut_paragraph(text: str, start: int, end: int, known: frozenset) -> list:
+def cut_paragraph(text: str, start: int, end: int, known: Known) -> list:
     """(start, end) of the sentences within one paragraph."""
     units = []
     pairs = _matching(text, start, end)
@@ -212,7 +273,7 @@ def cut_paragraph(text: str, start: int, end: int, known: frozenset) -> list:
     return units
 
 
-def cut_block(text: str, known: frozenset = frozenset()) -> list:
+def cut_block(text: str, known: Known = NOTHING) -> list:
     """(start, end) of the sentence units of a block; headings and list items begin units of their own."""
     units, para, at = [], None, 0
 
@@ -248,7 +309,7 @@ def cut_block(text: str, known: frozenset = frozenset()) -> list:
     return [(a, b) for a, b in units if b > a]
 
 
-_EVIDENCE = ArrayType(StructType([StructField("word", StringType()), StructField("is_abbr", IntegerType())]))
+_EVIDENCE = ArrayType(StructType([StructField("is_name", BooleanType()), StructField("word", StringType()), *[StructField(c, IntegerType()) for c in ("yes", "no", "asked")]]))
 _UNITS = ArrayType(StructType([StructField("a", IntegerType()), StructField("b", IntegerType())]))
 
 
@@ -258,28 +319,45 @@ def _evidence_udf(s: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(_UNITS)
-def _units_udf(s: pd.Series, known: pd.Series) -> pd.Series:
-    return pd.Series([cut_block(t, frozenset(k) if k is not None else frozenset()) if t else [] for t, k in zip(s, known)])
+def _units_udf(s: pd.Series, told: pd.Series) -> pd.Series:
+    return pd.Series([cut_block(t, Known((e["is_name"], e["word"], e["yes"]) for e in k) if k is not None else NOTHING) if t else [] for t, k in zip(s, told)])
+
+
+def _told(yes: Column, no: Column, least_no: int) -> Column:
+    """True, false or null (silent or torn) of the evidence of one document."""
+    return F.when((yes > 0) & (yes >= 2 * no), True).when((no >= least_no) & (no >= 2 * yes), False)
+
 
+def decisions(rows: DataFrame, least: int = 5) -> DataFrame:
+    """doc_id, told: (is_name, word, yes) of the words asked about in a document that its own evidence or that of the corpus decides.
 
-def abbreviations(rows: DataFrame, min_corpus: int = 5) -> DataFrame:
-    """doc_id, known: the words that are abbreviations in the document by its own or the corpus' evidence."""
+    A document speaks against an abbreviation with two plain occurrences; the corpus speaks with
+    ``least`` occurrences of one kind to one of the other, and against an abbreviation with four
+    times as many; a word of up to SHORT letters that never stands without a period is one too.
+    """
     seen = (
         rows.select("doc_id", F.explode(_evidence_udf("text")).alias("e"))
-        .groupBy("doc_id", F.col("e.word").alias("word"))
-        .agg(F.sum("e.is_abbr").alias("yes"), F.sum(1 - F.col("e.is_abbr")).alias("no"))
+        .groupBy("doc_id", F.col("e.is_name").alias("is_name"), F.col("e.word").alias("word"))
+        .agg(*[F.sum(F.col(f"e.{c}")).cast(LongType()).alias(c) for c in ("yes", "no", "asked")])
     )
+    yes, no = F.col("all_yes"), F.col("all_no")
+    enough = F.when(F.col("is_name"), least).otherwise(4 * least)
+    always_dotted = ~F.col("is_name") & (no == 0) & (F.col("all_asked") >= 2 * least) & (F.length("word") <= SHORT)
     corpus = (
-        seen.groupBy("word").agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no")).where((F.col("all_yes") >= min_corpus) & (F.col("all_yes") > 3 * F.col("all_no")))
+        seen.groupBy("is_name", "word")
+        .agg(F.sum("yes").alias("all_yes"), F.sum("no").alias("all_no"), F.sum("asked").alias("all_asked"))
+        .where("all_asked > 0")
+        .select("is_name", "word", F.when(((yes >= least) & (yes >= least * no)) | always_dotted, True).when((no >= enough) & (no >= least * yes), False).alias("corpus"))
+        .where("corpus is not null")
     )
-    own = seen.where((F.col("yes") > 0) & (F.col("no") == 0)).select("doc_id", "word")
-    shared = seen.where(F.col("yes") + F.col("no") > 0).join(corpus, "word").where(F.col("yes") >= F.col("no")).select("doc_id", "word")
-    return own.unionByName(shared).groupBy("doc_id").agg(F.collect_set("word").alias("known"))
+    own = F.when(F.col("is_name"), _told(F.col("yes"), F.col("no"), 1)).otherwise(_told(F.col("yes"), F.col("no"), 2))
+    asked = seen.where("asked > 0").select("doc_id", "is_name", "word", own.alias("own")).join(corpus, ["is_name", "word"], "left")
+    decided = asked.select("doc_id", "is_name", "word", F.coalesce("own", "corpus").alias("yes")).where("yes is not null")
+    return decided.groupBy("doc_id").agg(F.collect_list(F.struct("is_name", "word", "yes")).alias("told"))
 
 
 def sentence_units(rows: DataFrame) -> DataFrame:
     """rows: sentence_id, doc_id, char_start, text. Returns sentence_id, char_start, char_end of every unit."""
     rows = rows.select("sentence_id", "doc_id", "char_start", "text").where(F.col("text").rlike("\\S")).distinct()
-    known = abbreviations(rows)
-    units = rows.join(known, "doc_id", "left").select("sentence_id", F.coalesce("char_start", F.lit(0)).alias("s"), F.explode(_units_udf("text", "known")).alias("u"))
+    units = rows.join(decisions(rows), "doc_id", "left").select("sentence_id", F.coalesce("char_start", F.lit(0)).alias("s"), F.explode(_units_udf("text", "told")).alias("u"))
     return units.select("sentence_id", (F.col("s") + F.col("u.a")).cast("int").alias("char_start"), (F.col("s") + F.col("u.b")).cast("int").alias("char_end")).distinct()
