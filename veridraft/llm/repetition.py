@@ -4,9 +4,11 @@ A word is repeated if it lies in a run of RUN successive words that began at an
 the document too. Documents of one block of BLOCK sentences are measured within their row, all
 runs at once; larger ones (however large) are spread: block offsets come from sums over blocks,
 runs are counted by (document, run), covered words by stretches of CELL words. Both ways give the
-same numbers. Rules on the measures vote for or against repetition or abstain; expectation-
-maximisation over the counts of the vote patterns (at most 3**4) estimates the accuracy of every
-rule for either class, and the posterior of its pattern is the document's probability.
+same numbers. Rules on the measures vote for or against repetition or abstain (documents of under
+MIN_WORDS words are voted against); expectation-maximisation over the counts of the vote patterns
+(at most 3**4) estimates the accuracy of every rule for either class, and the posterior of its
+pattern is the document's probability. Documents more likely repetitive than not are found; that
+they meet the definition is checked afterwards.
 
 Edge cases: null and blank texts have no words; rows repeated whole count once; rows without a
 document id are left out; a document under RUN words has share 0; equal ordinals are ordered by
@@ -21,19 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .canonical import consistent_form, words
+from ..runtime import cut
 from .winnowing import rolling_hashes
-from ..runtime import cut, once
+from .wordrows import hashed_words
 
 RUN, BLOCK, CELL = 12, 1024, 8192
 MIN_WORDS, SHARE = 40, 0.3
 
 
 def sentence_words(rows: DataFrame) -> DataFrame:
-    """doc_id, ordinal, sentence_id, w (32-bit word hashes in order) of each row, repeated rows once."""
-    formed = rows.where("doc_id is not null").select("doc_id", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), "sentence_id", once(words(consistent_form(F.coalesce("text", F.lit("")))), "_w"))
-    hashed = formed.select("doc_id", "ordinal", "sentence_id", F.transform("_w", lambda x: F.hash(x)).alias("w"))
-    return hashed.where(F.size("w") > 0)
+    """doc_id, ordinal, sentence_id, w (32-bit word hashes in order) of each row that has words."""
+    placed = rows.where("doc_id is not null").select("doc_id", F.coalesce("ordinal", F.lit(0)).alias("ordinal"), "sentence_id", "text")
+    return hashed_words(placed, "text", ["doc_id", "ordinal", "sentence_id"], 1).withColumnRenamed("seq", "w")
 
 
 def blocks_of(rows: DataFrame) -> DataFrame:
@@ -148,18 +149,17 @@ def measures(rows: DataFrame) -> DataFrame:
 def _rules():
     n = F.greatest("n_words", F.lit(1))
     runs = F.greatest("runs", F.lit(1))
-    share = F.col("repeated") / n
     return [
-        ("repeated share", share, 0.3, 0.2),
-        ("few distinct runs", 1 - F.col("distinct_runs") / runs, 0.25, 0.1),
-        ("one run again and again", F.col("most") * RUN / n, 0.5, 0.15),
-        ("words come back", F.col("repeated").cast("double"), 60.0, 24.0),
+        ("repeated share", F.col("repeated") / n, SHARE, SHARE),
+        ("few distinct runs", 1 - F.col("distinct_runs") / runs, 0.15, 0.02),
+        ("one run again and again", F.col("most") * RUN / n, 0.25, 0.12),
+        ("words come back", F.col("repeated").cast("double"), 2.0 * RUN, 1.0 * RUN),
     ]
 
 
 def with_votes(docs: DataFrame) -> DataFrame:
-    """Adds share and votes: a string of +, - and 0 for every rule; documents under MIN_WORDS words abstain on all."""
-    votes = [F.when(F.col("n_words") < MIN_WORDS, "0").when(m >= hi, "+").when(m < lo, "-").otherwise("0") for _, m, hi, lo in _rules()]
+    """Adds share and votes: a string of +, - and 0 for every rule; documents under MIN_WORDS words have every vote against them."""
+    votes = [F.when(F.col("n_words") < MIN_WORDS, "-").when(m >= hi - 1e-12, "+").when(m < lo, "-").otherwise("0") for _, m, hi, lo in _rules()]
     return docs.withColumn("share", F.col("repeated") / F.greatest("n_words", F.lit(1))).withColumn("votes", F.concat(*votes))
 
 
@@ -202,6 +202,7 @@ def judged(rows: DataFrame) -> DataFrame:
     return voted.join(F.broadcast(table), "votes").select("doc_id", "n_words", "share", "votes", "probability")
 
 
-def repetitive(rows: DataFrame, least: float = 0.01) -> DataFrame:
-    """Documents that the rules together do not rule out and whose repeated share is SHARE or more of at least MIN_WORDS words."""
-    return judged(rows).where((F.col("probability") >= least) & (F.col("n_words") >= MIN_WORDS) & (F.col("share") >= SHARE - 1e-12)).select("doc_id", "n_words", "share", "probability")
+def repetitive(rows: DataFrame, least: float = 0.5) -> DataFrame:
+    """Documents more likely repetitive than not by the votes of all rules; the definition (MIN_WORDS, SHARE) is checked after."""
+    likely = judged(rows).where(F.col("probability") >= least)
+    return likely.where((F.col("n_words") >= MIN_WORDS) & (F.col("share") >= SHARE - 1e-12)).select("doc_id", "n_words", "share", "probability")
