@@ -1,11 +1,11 @@
 """Defective prompt and answer pairs, by a multi-label linear classifier.
 
 Each pair becomes a set of hashed binary features: how the answer ends (last words of an answer
-without terminal), word n-grams of answers that share little with the prompt, and pair features
-(equality after folding, overlap, languages of both sides). One logistic model for each defect is
+without terminal), word n-grams of answers that share little with the prompt, the shape and words of
+short answers, and pair features (how alike the letters of both sides are, overlap, languages). One logistic model for each defect is
 fitted on answers of the collection and on synthetic defects made of them: cut, copied, swapped
-for one of another language, refused, emptied; complete answers that only lost their period are
-made as counter-examples. Thresholds are calibrated on a held-out part to the best F1.
+for one of another language, refused, emptied; complete answers that only lost their period and
+prompts with other words in them are made as counter-examples. Thresholds are calibrated on a held-out part to the best F1.
 
 The fit uses the TRAIN_PAIRS pairs with the smallest hash of their id (a documented bound; fitting
 a classifier is the one step that may sample). Scoring covers every pair, in Arrow batches.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .canonical import canonical_text
 
 TRAIN_PAIRS = 3000
-BITS = 15
+BITS = 17
 MIN_SEEN = 8
 DEFECTS = ("empty", "truncated", "refusal", "copy", "other_language")
 PRECEDENCE = ("empty", "refusal", "copy", "other_language", "truncated")
@@ -43,8 +43,8 @@ FUNCTION_WORDS = {
     "it": "il lo gli è di della un una con se per che non sono questo".split(),
     "pt": "o os as é de da do um uma com se por que não este em ao".split(),
 }
-# What stands for a missing answer.
-PLACEHOLDERS = frozenset(
+# What stands for a missing answer, to learn from.
+PLACEHOLDERS = (
     "null none nan nil na n/a n.a undefined tbd tba todo empty missing unknown blank void no_output no_answer no_response no_text output answer response placeholder".split()
     + ["no output", "no answer", "no response", "no text", "to do", "not available", "no result", "no data", "keine antwort", "sin respuesta", "pas de réponse", "нет ответа", "leer", "vide", "vacío", "пусто"]
 )
@@ -53,11 +53,11 @@ REFUSALS = {
     "en": [
         "I'm sorry, but I can't help with that.", "Sorry, I cannot assist with this request.", "I cannot rewrite this text.", "I am unable to do that.", "As a language model, I can't comply.",
         "I won't write this.", "I must decline this request.", "Unfortunately, I am not able to help you with this.", "This request goes against the policy.", "I apologize, but this is not something I can do.",
-        "I would rather not answer.", "Request declined.", "It would not be appropriate to answer.", "I'm not able to process this content.", "I can't do that.", "No rewrite: the policy does not allow this.", "Regrettably, I can't provide that.",
+        "I would rather not answer.", "This request is declined.", "It would not be appropriate to answer.", "I'm not able to process this content.", "I can't do this for you.", "No rewrite: the policy does not allow this.", "Regrettably, I can't provide that.", "Declined.", "I refuse.", "Refused.", "This is declined, please understand.", "Cannot comply.",
     ],
     "de": ["Es tut mir leid, das kann ich nicht tun.", "Leider darf ich diesen Text nicht bearbeiten.", "Ich kann dabei nicht helfen.", "Diese Anfrage muss ich ablehnen.", "Das möchte ich nicht beantworten."],
-    "fr": ["Je suis désolé, je ne peux pas le faire.", "Je ne peux pas traiter cette demande.", "Désolé, je dois refuser.", "Il m'est impossible de réécrire ce texte.", "Je ne suis pas en mesure d'aider."],
-    "es": ["Lo siento, no puedo ayudar con eso.", "No me es posible reescribir este texto.", "No puedo hacer esto.", "Debo rechazar esta petición.", "Lamento no poder responder."],
+    "fr": ["Je suis désolé, je ne peux pas le faire.", "Je ne peux pas traiter cette demande.", "Désolé, je dois refuser.", "Il ne m'est pas possible de faire cela.", "Je ne suis pas en mesure d'aider."],
+    "es": ["Lo siento, no puedo ayudar con eso.", "No estoy en condiciones de reescribirlo.", "No puedo hacer esto.", "Debo rechazar esta petición.", "Lamento no poder responder."],
     "ru": ["Извините, я не могу помочь.", "К сожалению, я не могу переписать этот текст.", "Я вынужден отказаться.", "Простите, это невозможно.", "Я не могу выполнить этот запрос."],
 }
 # Sentences in further languages, to learn from answers in languages the collection lacks.
@@ -67,8 +67,11 @@ FOREIGN = [
     "ตรวจสอบวาล์วก่อนเริ่มกะ", "เปิดฝาแล้วรอสักครู่", "교대 전에 밸브를 확인하십시오.", "בדוק את השסתום לפני המשמרת.", "Controllare la valvola prima del turno e non aprire il coperchio.", "Verifique a válvula antes do turno e não abra a tampa.",
     "Проверьте клапан перед сменой.", "Prüfen Sie das Ventil vor der Schicht und lassen Sie die Pumpe geschlossen.", "Vérifiez la vanne avant la tournée et laissez la pompe au repos.", "Revise la válvula antes del turno y deje la bomba en marcha.",
 ]
-CODAS = ["Let me know if I can do something else.", "Please consult a qualified person.", "Please ask another question.", ""]
+LABELS = ["Answer", "Rewrite", "Output", "Text", "Result", "New version", "Antwort", "Réponse", "Respuesta", "Ответ"]
+CODAS = ["Please ask another question.", "Perhaps someone else can.", ""]
 CUT_MARKS = ["", "", "", "", "...", "…", " [...]", " […]", " (", " -", ",", ":", ' "', "\n", " ", "\n```", " (cont", ";", " —", " «"]
+#: How a placeholder is written in a sample.
+DRESSES = ["{}", "{}", "[{}]", "({})", "<{}>", "{}.", '"{}"', "**{}**"]
 EMPTY_FORMS = ["", "   ", "\n\n", "​", "﻿", "...", "-", "—", "???", "**", "```\n```", "[]", "{}", "()", "null", "None", "N/A", "n/a", "undefined", "TBD", "[no output]", "<br>", "<p></p>", "(empty)", "<empty>", "nan", "//", "#"]
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
@@ -135,24 +138,46 @@ def _shape(word: str) -> str:
     return word.lower()
 
 
+def _common_start(a: str, b: str) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    lo, hi = 0, n
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid - 1)
+    return lo
+
+
+def _likeness(p: str, a: str) -> list:
+    """How alike the letters and digits of prompt and answer are: common start and end, containment, difference of length."""
+    pf, af = _fold(p), _fold(a)
+    if not pf or not af:
+        return ["alike:none"]
+    longest = max(len(pf), len(af))
+    start, end = _common_start(pf, af), _common_start(pf[::-1], af[::-1])
+    tenth = lambda n: "all" if n == longest else str(10 * n // longest)
+    more = len(af) - len(pf)
+    size = "0" if more == 0 else ("+" if more > 0 else "-") + str(min(5, abs(more).bit_length()))
+    inside = "whole" if pf in af else "part" if af in pf else "no"
+    return [f"start:{tenth(start)}", f"end_alike:{tenth(end)}", f"more:{size}", f"inside:{inside}|{size}", f"alike:{tenth(start)}|{tenth(end)}", f"led:{inside}|{end == len(pf)}|{':' in a[: len(a) - len(p) + 3]}"]
+
+
+def _shape_of(answer: str, plain: list) -> list:
+    """How much there is of an answer, and what it is if it is short."""
+    letters = sum(map(len, plain))
+    out = [f"words:{min(len(plain), 5)}", f"letters:{min(letters, 12)}"]
+    if len(plain) <= 4 and letters <= 40:
+        out += [f"whole:{' '.join(plain)}", f"form:{re.sub(r'[^\W_]+', 'x', answer.strip())[:12]}"]
+    return out
+
+
 def _keys(prompt, answer) -> list:
     p, a = canonical_text(prompt or ""), canonical_text(answer or "")
     pw, aw = _WORD.findall(p.lower()), _WORD.findall(a.lower())
     out = ["bias"]
-    aw_plain = _WORD.findall(re.sub(r"<[^<>]{1,40}>", " ", a.lower()))
-    core = re.sub(r"[\s\W_]+", " ", a.lower()).strip()
-    bare = a.strip(" \t\n\"'`*_~<>[](){}.,;:!?-—#|/\\").lower()
-    if not aw or not aw_plain:
-        out += ["empty:nothing"]
-    elif core in PLACEHOLDERS or bare in PLACEHOLDERS:
-        out += ["empty:placeholder"]
-    else:
-        out += ["some"]
-    pf, af = _fold(p), _fold(a)
-    label = re.match(r"^\W*(?:[^\W\d_]+\s?){1,4}:\s*", a)
-    same = bool(pf) and af == pf
-    labelled = bool(pf) and bool(label) and _fold(a[label.end() :]) == pf
-    out += ["copy:yes" if same else "copy:label" if labelled else "copy:no"]
+    out += _shape_of(a, _WORD.findall(re.sub(r"<[^<>]{1,40}>", lambda m: m.group() if m.group()[1:-1].isalpha() and len(m.group()) > 4 else " ", a.lower()).replace("_", " ")))
+    out += _likeness(p, a)
     ps, strong = set(pw), {w for w in aw if len(w) > 3 or w.isdigit()}
     share = len([w for w in strong if w in ps]) / len(strong) if strong else -1.0
     level = "none" if share < 0 else f"{min(int(share * 10), 9)}"
@@ -223,8 +248,12 @@ def synthetic(pairs: list, rng: random.Random) -> list:
                 out.append((p, head.rstrip(",;:") + mark, frozenset(["truncated"])))
         refusal = rng.choice(REFUSALS.get(lang, REFUSALS["en"])) + (" " + rng.choice(CODAS) if rng.random() < 0.4 else "")
         out.append((p, refusal.strip(), frozenset(["refusal"])))
-        copy = rng.choice([p, p.upper(), p.lower(), f'"{p}"', f"«{p}»", f"Answer: {p}", f"Rewrite: {p}", "> " + p, "  " + p.replace(" ", "  "), p.rstrip(".")])
-        out.append((p, copy, frozenset(["copy"])))
+        for copy in rng.sample([p, p.upper(), p.lower(), f'"{p}"', f"«{p}»", f"{rng.choice(LABELS)}: {p}", f"{rng.choice(LABELS)}: {p}", "> " + p, "  " + p.replace(" ", "  "), p.rstrip(".")], 2):
+            out.append((p, copy, frozenset(["copy"])))
+        words = p.split()
+        if len(words) > 5:  # the prompt with other words in it is no copy
+            at = rng.randrange(len(words))
+            out.append((p, " ".join([*words[:at], *rng.choice(pairs)[1].split()[: rng.randrange(1, 4)], *words[at + rng.randrange(0, 3) :]]).rstrip(".,;: ") + ".", frozenset()))
         others = [k for k in by_lang if k != lang]
         if others:
             out.append((p, rng.choice(by_lang[rng.choice(others)]), frozenset(["other_language"])))
@@ -233,6 +262,7 @@ def synthetic(pairs: list, rng: random.Random) -> list:
             if told and told != lang:
                 out.append((p, foreign, frozenset(["other_language"])))
         out.append((p, rng.choice(EMPTY_FORMS), frozenset(["empty"])))
+        out.append((p, rng.choice([str, str.upper, str.title])(rng.choice(DRESSES).format(rng.choice(PLACEHOLDERS))), frozenset(["empty"])))
     return out
 
 
@@ -246,7 +276,7 @@ def _margins(w: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.add.reduceat(w[flat], at[:-1], axis=0) if len(at) > 1 else np.empty((0, w.shape[1]))
 
 
-def fit(samples: list, epochs: int = 8, batch: int = 256, l2: float = 1e-6, seed: int = 7):
+def fit(samples: list, epochs: int = 16, batch: int = 256, l2: float = 1e-6, seed: int = 7):
     """Weights (2**BITS, defects) of logistic models and a threshold for each, calibrated on a fifth of the samples."""
     rng = np.random.default_rng(seed)
     rows = [features(p, a) for p, a, _ in samples]
@@ -287,7 +317,7 @@ def fit(samples: list, epochs: int = 8, batch: int = 256, l2: float = 1e-6, seed
 def sound(prompt: str, answer: str) -> bool:
     """Whether a pair is surely fit to make samples of: the answer shares much with the prompt, in its language, and is whole."""
     keys = set(_keys(prompt, answer))
-    return "end:stop" in keys and "lang:same" in keys and "copy:no" in keys and not keys & {"share:none", "share:0", "share:1", "share:2", "share:3"}
+    return "end:stop" in keys and "lang:same" in keys and _fold(canonical_text(answer)) != _fold(canonical_text(prompt)) and not keys & {"share:none", "share:0", "share:1", "share:2", "share:3"}
 
 
 def train(pairs: list, seed: int = 7):
