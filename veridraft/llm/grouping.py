@@ -9,6 +9,7 @@
 4. Whatever its size, each bin is placed by one rule on the driver: rarest outstanding label first,
    largest bin first, into the split that is furthest behind its share of that label and has room for
    the bin (if none has, into the one that needs the label most). All labels of the bin are deducted.
+   Then single bins move while that brings the shares nearer to the wanted ones.
 
 Edge cases: documents without sentences in common are components of their own; null ids are left
 out; labels of unknown sentences are ignored; repeated rows count once; an empty table gives an
@@ -49,7 +50,7 @@ def assign_splits(items: DataFrame, labels: DataFrame, plan: DataFrame, seed: in
     of_group = items.join(labels, "item").groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
     parts = of_group.unionByName(sizes.select("group", F.lit(None).cast("string").alias("label"), "n"))  # label null: all rows
     groups = cut(parts.groupBy("group").agg(F.collect_list(F.struct("label", "n")).alias("vector")))
-    totals = {r.label: r.n for r in groups.select(F.explode("vector").alias("v")).groupBy("v.label").agg(F.sum("v.n").alias("n")).collect()}  # the label set is a fixed taxonomy
+    totals = {r.label: r.n for r in groups.select(F.explode("vector").alias("v")).groupBy("v.label").agg(F.sum("v.n").alias("n")).collect()}  # as many rows as there are labels: the caller keeps to a taxonomy
     schema = "turn int, size int, slot int, split_name string"
     order = sorted((lab for lab in totals if lab is not None), key=lambda x: (totals[x], str(x)))
     rank = F.create_map(*[F.lit(v) for i, lab in enumerate(order) for v in (lab, i)]) if order else None
@@ -98,6 +99,33 @@ def place(vectors: dict, splits: list) -> dict:
         for x, n in vector.items():
             need[x][split] -= n
             left[x] -= n
+    return settled(vectors, placed, need, [n for n, _ in splits])
+
+
+def settled(vectors: dict, placed: dict, need: dict, names: list, passes: int = 10) -> dict:
+    """``placed`` after moves of single bins that bring the shares of labels, and above all of all rows, nearer to the wanted ones.
+
+    The cost is the sum over labels and splits of the squared missing share; a bin moves where that
+    lowers it most, until a pass over all bins moves none.
+    """
+    total = {lab: 0 for lab in need}
+    for vector in vectors.values():
+        for lab, n in vector.items():
+            total[lab] += n
+    scale = {lab: (10.0 if lab is None else 1.0) / max(t, 1) ** 2 for lab, t in total.items()}
+    for _ in range(passes):
+        moved = False
+        for key in sorted(vectors):
+            vector, here = vectors[key], placed[key]
+            gain = {s: sum(2 * n * scale[x] * (need[x][s] - need[x][here] - n) for x, n in vector.items()) for s in names if s != here}
+            best = max(gain, key=lambda s: (gain[s], s), default=None)
+            if best is not None and gain[best] > 1e-15:
+                placed[key], moved = best, True
+                for x, n in vector.items():
+                    need[x][here] += n
+                    need[x][best] -= n
+        if not moved:
+            break
     return placed
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..runtime import cut, spread, table
 from ..sources.corpus import segmented
@@ -53,8 +54,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("group_key"))
 
 
+def _known_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of rules the taxonomy has (28 rows, fixed): unknown ids would only grow the number of labels to balance."""
+    return table(spark, d, "sentence_trope_label").select("sentence_id", "trope_id").join(F.broadcast(table(spark, d, "trope").select("trope_id")), "trope_id", "left_semi")
+
+
 def _p5(spark: SparkSession, d: str) -> GroupedSplit:
-    return GroupedSplit(table(spark, d, "sentence"), table(spark, d, "sentence_trope_label"), table(spark, d, "split_plan"))
+    return GroupedSplit(table(spark, d, "sentence"), _known_labels(spark, d), table(spark, d, "split_plan"))
 
 
 def p5_assignment(spark: SparkSession, d: str) -> DataFrame:
@@ -62,14 +68,16 @@ def p5_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences and documents of each split, and the share beside the wanted one."""
-    rows = _p5(spark, d).assignment()
-    total = rows.select("sentence_id").distinct().count()
+    """Sentences of each split and their share beside the wanted one: of all (trope_id null) and of those with each label."""
+    rows = cut(_p5(spark, d).assignment().select("sentence_id", "split_name").distinct())
+    labelled = rows.join(_known_labels(spark, d).distinct(), "sentence_id").select("sentence_id", "split_name", "trope_id")
+    every = rows.select("sentence_id", "split_name", F.lit(None).cast("string").alias("trope_id")).unionByName(labelled)
+    counts = every.groupBy("trope_id", "split_name").agg(F.count(F.lit(1)).alias("sentences"))  # at most 29 x splits rows
+    of_label = Window.partitionBy("trope_id")
     return (
-        rows.groupBy("split_name")
-        .agg(F.countDistinct("sentence_id").alias("sentences"), F.countDistinct("doc_id").alias("documents"))
+        counts.withColumn("share", F.round(F.col("sentences") / F.sum("sentences").over(of_label), 4))
         .join(F.broadcast(table(spark, d, "split_plan")), "split_name")
-        .select("split_name", "sentences", "documents", F.round(F.col("sentences") / F.lit(max(1, total)), 4).alias("share"), "target_share")
+        .select("trope_id", "split_name", "sentences", "share", "target_share")
     )
 
 
