@@ -73,3 +73,10 @@ def json_array_slice(c: Column) -> Column:
 
 def report_line(file: Column, line: Column, name: Column, confidence: Column, text: Column) -> Column:
     return F.format_string("%s:%d: [%s, %.2f] %s", file, line, name, confidence, text)
+
+
+def paragraph_texts(c: Column) -> Column:
+    """The paragraphs of a text as strings: cut at blank lines and before headings and list items, whose markers go with the cut."""
+    chunks = F.transform(F.split(c, f"\\r?\\n[{WS}]*\\r?\\n+"), strip)
+    parts = F.flatten(F.transform(chunks, lambda p: F.split(p, f"(?m:^)(?:#{{1,6}}[{WS}]|[-*+][{WS}]|\\d+[.)][{WS}])")))
+    return F.filter(F.transform(parts, strip), lambda p: p != "")

@@ -65,12 +65,27 @@ def analogy_stacking(rows: DataFrame, doc: str = "doc_id", text: str = "text") -
 
 
 def analysed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The sentences of the documents, with long: whether they stand in a paragraph of more than six. Made within the row."""
-    told = docs.select(key, text, once(sentence_array(F.col(text)), "s"))
-    both = told.select(key, "s", once(paragraph_array(F.col(text)), "p"))
-    inside = lambda x, p: (x["char_start"] >= p["start"]) & (x["char_start"] < p["end"])
-    big = both.select(key, "s", once(F.filter("p", lambda p: F.size(F.filter("s", lambda x: inside(x, p))) > LONG_PARAGRAPH), "big"))
-    return big.select(key, "big", F.posexplode("s").alias("ordinal", "x")).select(key, "ordinal", "x.*", F.exists("big", lambda p: inside(F.col("x"), p)).alias("long"))
+    """The sentences of the documents, with long: whether they stand in a paragraph of more than six. Made within the row.
+
+    Sentences and starts of paragraphs are merged by place; the sentences between two starts are
+    those of a paragraph.
+    """
+    merged = F.sort_array(
+        F.concat(
+            F.transform(paragraph_array(F.col(text)), lambda p: F.struct(p["start"].alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("struct<text:string,char_start:int,char_end:int,line:int>").alias("x"))),
+            F.transform(sentence_array(F.col(text)), lambda x: F.struct(x["char_start"].alias("at"), F.lit(1).alias("kind"), x.alias("x"))),
+        )
+    )
+    told = docs.select(key, once(merged, "m"))
+    starts = F.filter(F.transform("m", lambda x, i: F.when(x["kind"] == 0, i)), lambda i: i.isNotNull())
+    marked = told.select(key, "m", once(F.concat(starts, F.array(F.size("m"))), "at")).where(F.size("at") > 1)
+
+    def of_paragraph(j: Column) -> Column:
+        n = F.get("at", j + 1) - F.get("at", j) - 1
+        return F.transform(F.slice("m", F.get("at", j) + 2, n), lambda x: F.struct(x["x"].alias("x"), (n > LONG_PARAGRAPH).alias("long")))
+
+    rows = marked.select(key, F.posexplode(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - 2), of_paragraph))).alias("ordinal", "r"))
+    return rows.select(key, "ordinal", "r.x.*", "r.long")
 
 
 def long_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,6 +130,11 @@ def report_by_type(findings: DataFrame, key: str, name: str = "name") -> DataFra
     return findings.groupBy(name).agg(F.count(F.lit(1)).alias("findings"), F.countDistinct(key).alias("files"))
 
 
+def report_in_order(findings: DataFrame, key: str, name: str = "name") -> DataFrame:
+    """The report by type, most findings first, equal ones by name (a row for each rule)."""
+    return report_by_type(findings, key, name).orderBy(F.desc("findings"), name)
+
+
 def top_hits(findings: DataFrame, key: str, name: str = "name", order: tuple = ("line", "sentence"), n: int = 8) -> DataFrame:
     """The first n findings of each file and type, and how many more there are."""
     w = Window.partitionBy(key, name)

@@ -56,20 +56,58 @@ def pieces(text: Column) -> Column:
     return F.flatten(F.transform(blocks, lambda p: F.when(p.startswith(CODE), F.array(p)).otherwise(_split(mark_sentences(p)))))
 
 
+_PIECE = "array<struct<raw:string,at:int,line:int>>"
+
+
+def _body(p: Column) -> Column:
+    return F.when(p.startswith(CODE), F.substring(p, 2, 1 << 30)).otherwise(p)
+
+
+def _breaks(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+
 def _placed(parts: Column) -> Column:
-    """Pieces with the offset and line of their first character."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast("array<struct<raw:string,at:int,line:int>>").alias("out"))
+    """Pieces with the offset and line of their first character.
+
+    The pieces are taken in blocks of about the root of their number: the blocks' starts are one
+    running sum, the starts within a block another, so no array of the whole document is appended to
+    piece by piece.
+    """
+    size = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(parts))).cast("int"))
+    # The elements of an array of one struct are read once each in what follows.
+    cut_up = F.transform(
+        F.transform(F.array(F.struct(parts.alias("p"), size.alias("b"))), lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x["p"]) - 1) / x["b"]).cast("int")), lambda i: F.slice(x["p"], i * x["b"] + 1, x["b"]))),
+        lambda blocks: F.transform(
+            blocks,
+            lambda ps: F.struct(
+                ps.alias("ps"),
+                F.aggregate(ps, F.lit(0), lambda n, p: n + F.length(_body(p))).alias("chars"),
+                F.aggregate(ps, F.lit(0), lambda n, p: n + _breaks(p)).alias("breaks"),
+            ),
+        ),
+    )[0]
+    entry = "array<struct<ps:array<string>,at:int,line:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(entry).alias("out"))
+
+    def next_block(acc: Column, b: Column) -> Column:
+        return F.struct(
+            (acc["at"] + b["chars"]).alias("at"),
+            (acc["line"] + b["breaks"]).alias("line"),
+            F.concat(acc["out"], F.array(F.struct(b["ps"].alias("ps"), acc["at"].alias("at"), acc["line"].alias("line")))).alias("out"),
+        )
 
-    def add(acc: Column, p: Column) -> Column:
-        body = F.when(p.startswith(CODE), F.substring(p, 2, 1 << 30)).otherwise(p)
-        breaks = F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit("")))
+    def next_piece(acc: Column, p: Column) -> Column:
         return F.struct(
-            (acc["at"] + F.length(body)).alias("at"),
-            (acc["line"] + breaks).alias("line"),
+            (acc["at"] + F.length(_body(p))).alias("at"),
+            (acc["line"] + _breaks(p)).alias("line"),
             F.concat(acc["out"], F.array(F.struct(p.alias("raw"), acc["at"].alias("at"), acc["line"].alias("line")))).alias("out"),
         )
 
-    return F.aggregate(parts, start, add)["out"]
+    def within(b: Column) -> Column:
+        return F.aggregate(b["ps"], F.struct(b["at"].alias("at"), b["line"].alias("line"), F.array().cast(_PIECE).alias("out")), next_piece)["out"]
+
+    return F.flatten(F.transform(F.aggregate(cut_up, start, next_block)["out"], within))
 
 
 def sentence_array(text: Column) -> Column:
@@ -107,15 +145,10 @@ def paragraph_array(text: Column) -> Column:
             _split(marked), lambda p: F.when(p.startswith(gap), F.array(p)).otherwise(F.filter(F.split(F.regexp_replace(p, f"({_STRUCTURE})", f"{cut}$1"), cut), lambda q: q != ""))
         )
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def add(acc: Column, p: Column) -> Column:
-        skip = p.startswith(gap)
-        end = acc["at"] + F.length(p) - F.when(skip, 1).otherwise(0)
-        out = F.when(skip | (p == ""), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end")))))
-        return F.struct(end.alias("at"), out.alias("out"))
-
-    return F.when(text.rlike(f"[^{WS}]"), F.aggregate(parts, start, add)["out"]).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    # A gap is placed like any other piece; its mark counts as no character.
+    placed = F.filter(_placed(F.transform(parts, lambda p: F.when(p.startswith(gap), F.concat(F.lit(CODE), F.substring(p, 2, 1 << 30))).otherwise(p))), lambda x: ~x["raw"].startswith(CODE) & (x["raw"] != ""))
+    ranges = F.transform(placed, lambda x: F.struct(x["at"].alias("start"), (x["at"] + F.length(x["raw"])).alias("end")))
+    return F.when(text.rlike(f"[^{WS}]"), ranges).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
