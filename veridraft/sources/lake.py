@@ -1,7 +1,7 @@
 """Lake tables: typed reads, idempotent appends, replacement by key, partitioned writes.
 
-A table is never overwritten while it is read: new contents go to a sibling folder that takes the
-table's place at the end.
+A table is never overwritten while it is read: new contents go to a sibling folder, the old ones are
+moved aside, the new ones take their place, and only then the old ones are deleted.
 """
 
 from __future__ import annotations
@@ -58,9 +58,16 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> No
     w = (df.repartition(partition_by) if partition_by else df).write.option("compression", "zstd")
     (w.partitionBy(partition_by) if partition_by else w).parquet(fresh)
     fs, target = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(_fs(spark, fresh)[1], target)
+    aside = _fs(spark, f"{path.rstrip('/')}__old-{uuid.uuid4().hex}")[1]
+    before = fs.exists(target)
+    if before and not fs.rename(target, aside):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(_fs(spark, fresh)[1], target):
+        if before:
+            fs.rename(aside, target)
+        raise OSError(f"{fresh} can't take the place of {path}")
+    if before:
+        fs.delete(aside, True)
 
 
 def with_rows(existing: DataFrame, rows: DataFrame) -> DataFrame:

@@ -47,3 +47,10 @@ def taxonomy(spark: SparkSession, described: dict | None = None) -> DataFrame:
     rows = [(n, c, *told.get(n, (f"Rule: {n}.", None))) for n, c in RULES]
     table = spark.createDataFrame(rows, "name string, category string, description string, example_phrase string").coalesce(1)
     return table.select(uuid5(NS_TAXONOMY, F.col("name")).alias("trope_id"), "name", "category", "description", "example_phrase")
+
+
+def write_taxonomy(spark: SparkSession, path: str, described: dict | None = None) -> None:
+    """The taxonomy as a table of its own."""
+    from .sources.lake import write_table
+
+    write_table(taxonomy(spark, described), path)
