@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions.ids import NS_DOCUMENT, NS_SENTENCE, NS_SYNTHETIC_DOCUMENT, NS_SYNTHETIC_REWRITE, NS_SYNTHETIC_SENTENCE, sha256_hex, uuid5
 from ..functions.text import strip
+from ..runtime import cut
+from ..sources.lake import write_table
+from .ranking import first_rows, hex_bucket, ranked
 from .segment import sentences
 
 
@@ -74,11 +77,11 @@ def hash_order(key: str, seed: int = 42) -> Column:
 
 def stratified_split(rows: DataFrame, group: Column, key: str = "sentence_id", seed: int = 42) -> DataFrame:
     """Adds split_name: of each group of more than five rows a tenth (at least one) is val, as many test, the rest train."""
-    w = Window.partitionBy("_g")
-    ranked = rows.withColumn("_g", group).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(hash_order(key, seed), key)))
-    share = F.when(F.col("_n") > 5, F.greatest(F.lit(1), F.floor(F.col("_n") / 10))).otherwise(F.lit(0))
-    name = F.when(F.col("_r") <= share, "val").when(F.col("_r") <= 2 * share, "test").otherwise("train")
-    return ranked.withColumn("split_name", name).drop("_g", "_n", "_r")
+    keyed = rows.withColumn("_g", group).withColumn("_h", hash_order(key, seed))
+    placed = ranked(keyed, ["_g"], hex_bucket(F.col("_h")), ["_h", key])
+    share = F.when(F.col("_size") > 5, F.greatest(F.lit(1), F.floor(F.col("_size") / 10))).otherwise(F.lit(0))
+    name = F.when(F.col("_rank") <= share, "val").when(F.col("_rank") <= 2 * share, "test").otherwise("train")
+    return placed.withColumn("split_name", name).drop("_g", "_h", "_size", "_rank")
 
 
 def rewrite_pairs(rewrite: DataFrame, sentence: DataFrame, trope: DataFrame) -> DataFrame:
@@ -101,7 +104,8 @@ def negative_sample(rows: DataFrame, positive: Column, key: str = "sentence_id",
     """All positives and at most ``ratio`` negatives for each (at least one), those of smallest hash."""
     flagged = rows.withColumn("_p", positive)
     n = flagged.agg(F.count_if("_p")).first()[0]
-    kept = flagged.where(~F.col("_p")).orderBy(hash_order(key, seed), key).limit(max(1, ratio * n))
+    negatives = flagged.where(~F.col("_p")).withColumn("_h", hash_order(key, seed))
+    kept = first_rows(negatives, max(1, ratio * n), hex_bucket(F.col("_h")), ["_h", key]).drop("_h")
     return flagged.where("_p").unionByName(kept).drop("_p")
 
 
@@ -138,3 +142,19 @@ def best_thresholds(scores: DataFrame, names: DataFrame | None = None, floor: fl
     best = fit.groupBy("name").agg(F.max_by("threshold", F.struct("f1", -F.col("threshold"))).alias("t"))
     names = scores.select("name").distinct() if names is None else names
     return names.join(best, "name", "left").select("name", F.round(F.coalesce("t", F.lit(default)), 2).alias("threshold"))
+
+
+def build_training_tables(sentence: DataFrame, label: DataFrame, rewrite: DataFrame, trope: DataFrame, root: str, names: list) -> dict:
+    """Writes the wide table as three split tables and the rewrite pairs, laid out by rule, under ``root``; the paths by name."""
+    wide = wide_labels(sentence, label, trope, names)
+    split = cut(stratified_split(wide.withColumn("_first", first_label(names)), F.col("_first")).drop("_first"))
+    paths = {name: f"{root.rstrip('/')}/{name}" for name in ("train", "val", "test", "rewrite_pairs")}
+    for name in ("train", "val", "test"):
+        write_table(split.where(F.col("split_name") == name).drop("split_name"), paths[name])
+    write_table(rewrite_pairs(rewrite, sentence, trope), paths["rewrite_pairs"], "trope_name")
+    return paths
+
+
+def label_names(*tables: DataFrame) -> list:
+    """The rule names that any of the wide tables has, in order (a few dozen columns)."""
+    return sorted({c[len("trope__") :] for t in tables for c in t.columns if c.startswith("trope__")})
