@@ -113,7 +113,7 @@ def test_score_vector(spark):
     assert len(v) == 28 and v[0] == 1.0 and v[3] == 1.0 and v[27] == 0.0
 
 
-def test_gate_first_matches_against_brute_force(spark, tmp_path):
+def test_first_matches_against_brute_force(spark, tmp_path):
     import re
 
     from veridraft.operators.patterns import GATE, re2_pattern
@@ -121,7 +121,7 @@ def test_gate_first_matches_against_brute_force(spark, tmp_path):
 
     texts = [*EXAMPLES.values(), "one two three", "alpha " * 30, "", None]
     spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(texts)], "sentence_id string, text string").write.parquet(str(tmp_path / "sentence.parquet"))
-    got = sorted(tuple(r) for r in QUERIES["gate_first_matches"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in QUERIES["first_matches"](spark, str(tmp_path)).collect())
     rows = [*((f"s{i}", t) for i, t in enumerate(texts) if t is not None), *((f"fx-{i:02d}", t) for i, t in enumerate(FIXTURES))]
     want = sorted((k, n, m.group()[:60]) for k, t in rows for n in GATE if (m := re.search(re2_pattern(n), t, re.ASCII)))
     assert got == want and {n for _, n, _ in got} == set(GATE)

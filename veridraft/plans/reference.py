@@ -8,15 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import NS_DOCUMENT, sha256_hex, uuid5
+from ..functions.ids import NS_DOCUMENT, NS_SENTENCE, sha256_hex, uuid5
 from ..functions.text import ellipsis, extension, front_matter, line_of, normalize_sentence, rewriter_prompt, strip, strip_front_matter, word_count
 from ..operators import detect, rewrite, scoring, segment, training
 from ..operators.patterns import DETECTORS, GATE, re2_pattern
+from ..operators.ranking import ranked
 from ..runtime import once, spread, table
 from ..sources import lake
-from ..taxonomy import NAMES, taxonomy
+from ..taxonomy import NAMES, RULES, taxonomy
+from . import segment_sql
 
-WS = "\\t\\n\\x0B\\f\\r\\x1c-\\x1f \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+WS = segment_sql.WS
 FIXTURES = [
     "The file is read by the parser.", "Open the panel; remove the fuse.", "Don't remove the screws.", "The mechanic performs an analysis of the log.", "Our robust, cutting-edge solution seamlessly integrates powerful features.",
     "Spin up the cluster before you dive into the configuration.", "We will utilize this framework to facilitate the process.", "It is important to note that the system may fail.", "The system is showing the error message.",
@@ -87,13 +89,20 @@ def sentences_punctuation(spark, d):
     return _plain(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("text")).cast("bigint").alias("chars"))
 
 
-@_query()
+_DOCS_SQL = "SELECT doc_id, text FROM documents"
+_SEGMENTS_SQL = "WITH " + segment_sql.sentences(_DOCS_SQL, segment.ABBREVIATIONS)
+_PARAGRAPHS_SQL = segment_sql.paragraphs(_DOCS_SQL)
+
+
+@_query(_SEGMENTS_SQL + " SELECT * FROM s")
 def sentences_split(spark, d):
     """Markdown-aware sentences with offsets and lines."""
     return segment.sentences(_documents(spark, d))
 
 
-@_query()
+@_query(
+    _SEGMENTS_SQL + " SELECT doc_id, count(*) AS sentences, sum(CASE WHEN substr(d.text, s.char_start + 1, s.char_end - s.char_start) <> s.text THEN 1 ELSE 0 END)::BIGINT AS wrong FROM s JOIN d USING (doc_id) GROUP BY doc_id"
+)
 def offsets_round_trip(spark, d):
     """Sentences whose offsets do not give back their text (none)."""
     docs = _documents(spark, d)
@@ -101,23 +110,22 @@ def offsets_round_trip(spark, d):
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.count_if(F.substring(F.col("whole"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("text")).alias("wrong"))
 
 
-@_query()
+@_query("WITH " + _PARAGRAPHS_SQL + ' SELECT doc_id, paragraph, start, stop AS "end" FROM p')
 def paragraph_ranges(spark, d):
     return segment.paragraphs(_documents(spark, d))
 
 
-@_query()
+@_query(_SEGMENTS_SQL + f" SELECT max(len([x FOR x IN regexp_split_to_array(text, '[{WS}]+') IF x <> '']))::INT AS most FROM s")
 def max_words_per_sentence(spark, d):
     return segment.sentences(_documents(spark, d)).agg(F.max(word_count(F.col("text"))).alias("most"))
 
 
 @_query("SELECT doc_id, ordinal, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal, sentence_id) - 1 AS place FROM (SELECT DISTINCT doc_id, ordinal, sentence_id FROM sentence)")
 def sentence_ordinals(spark, d):
-    from pyspark.sql.window import Window
-
+    """Place of every sentence in its document; a document of any length is ranked block by block."""
     rows = table(spark, d, "sentence").select("doc_id", "ordinal", "sentence_id").distinct()
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal", "sentence_id")) - 1
-    return rows.select("doc_id", "ordinal", place.cast("bigint").alias("place"))
+    placed = ranked(rows, ["doc_id"], F.floor(F.col("ordinal") / 1024).cast("int"), ["ordinal", "sentence_id"])
+    return placed.select("doc_id", "ordinal", (F.col("_rank") - 1).cast("bigint").alias("place"))
 
 
 # ---- detectors ----------------------------------------------------------------------------------
@@ -141,24 +149,16 @@ for _n in DETECTORS:
     _detector(_n)
 
 
-@_query(
-    "SELECT sentence_id, name, match FROM ("
-    + " UNION ALL ".join(
-        f"SELECT sentence_id, {_Q(n)} AS name, left(regexp_extract(text, {_Q(re2_pattern(n))}), 60) AS match FROM s WHERE {_hits_sql(n)}" for n in GATE if n != "Three+ Nouns in a Row"
-    )
+_FIRST_MATCHES_SQL = (
+    f"WITH s AS ({_SENTENCES_SQL}) SELECT sentence_id, name, match FROM ("
+    + " UNION ALL ".join(f"SELECT sentence_id, {_Q(n)} AS name, left(regexp_extract(text, {_Q(re2_pattern(n))}), 60) AS match FROM s WHERE {_hits_sql(n)}" for n in GATE)
     + ")"
 )
-def first_matches(spark, d):
-    """Matched text of every gate detector but 'Three+ Nouns in a Row', as the SQL has it; all of them: :func:`gate_first_matches`."""
-    return detect.detected(_sentences(spark, d), names=[n for n in GATE if n != "Three+ Nouns in a Row"]).select("sentence_id", "name", "match")
 
 
-ORACLES["first_matches"] = f"WITH s AS ({_SENTENCES_SQL}) " + ORACLES["first_matches"]
-
-
-@_query()
-def gate_first_matches(spark, d):
-    """Matched text of every gate detector, none left out."""
+@_query(_FIRST_MATCHES_SQL)
+def first_matches(spark, d):
+    """Matched text of every gate detector."""
     return detect.detected(_sentences(spark, d), names=GATE).select("sentence_id", "name", "match")
 
 
@@ -209,12 +209,31 @@ def analogy_stacking(spark, d):
     return detect.analogy_stacking(rows.unionByName(fixture)).select("doc_id", "text")
 
 
-@_query()
+_LONG_SQL = "long AS (SELECT s.* FROM s JOIN p ON s.doc_id = p.doc_id AND s.char_start >= p.start AND s.char_start < p.stop JOIN (SELECT s.doc_id, p.paragraph FROM s JOIN p ON s.doc_id = p.doc_id AND s.char_start >= p.start AND s.char_start < p.stop GROUP BY 1, 2 HAVING count(*) > 6) b ON b.doc_id = p.doc_id AND b.paragraph = p.paragraph)"
+_DOCUMENT_SQL = f"{_SEGMENTS_SQL}, {_PARAGRAPHS_SQL}, {_LONG_SQL}"
+
+
+@_query(_DOCUMENT_SQL + " SELECT doc_id, text, char_start, char_end, line FROM long")
 def long_paragraphs(spark, d):
     return detect.long_paragraphs(_documents(spark, d))
 
 
-@_query()
+_CATEGORY_SQL = "(VALUES " + ", ".join(f"({_Q(n)}, {_Q(c)}, {_Q(f'Rule: {n}.')})" for n, c in RULES) + ") AS r(name, category, description)"
+_ANALOGY_SQL = "regexp_matches(text, '\\b[A-Z][\\w&'' -]{1,40} (?:did not|didn''?t) (?:build|invent|create|start|make)\\b')"
+_GATE_SQL = (
+    _DOCUMENT_SQL
+    + ", h AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, line, char_start, char_end, text, {_Q(n)} AS name FROM s WHERE {_hits_sql(n)}" for n in GATE)
+    + f" UNION ALL SELECT doc_id, line, char_start, char_end, text, 'Content Duplication' FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n) AS c FROM (SELECT *, {_NORM_SQL} AS n FROM s) WHERE length(n) >= 25) WHERE c > 1"
+    + f" UNION ALL SELECT doc_id, line, char_start, char_end, text, 'Historical Analogy Stacking' FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM s WHERE {_ANALOGY_SQL}) WHERE c > 1"
+    + " UNION ALL SELECT doc_id, line, char_start, char_end, text, 'Long Paragraph' FROM long), "
+    + "found AS (SELECT doc_id AS file, line, char_start, char_end, text AS sentence_text, h.name AS violation_name, category, 1.0::DOUBLE AS confidence, description, '(rewriter model unavailable)' AS suggested_rewrite FROM h LEFT JOIN "
+    + _CATEGORY_SQL
+    + " ON r.name = h.name)"
+)
+
+
+@_query(_GATE_SQL + " SELECT * FROM found")
 def gate_findings(spark, d):
     return detect.gate_findings(_documents(spark, d), taxonomy(spark))
 
@@ -234,7 +253,7 @@ def top_hits_per_type(spark, d):
     return detect.top_hits(detect.scan_findings(_documents(spark, d)), "doc_id", order=("line", "sentence", "match"))
 
 
-@_query()
+@_query(_GATE_SQL + " SELECT count(*) AS findings, count(*) <= 0 AS passed FROM found")
 def gate_status(spark, d):
     return detect.gate_status(detect.gate_findings(_documents(spark, d), taxonomy(spark)))
 
@@ -443,6 +462,7 @@ def _pass_sql(kind: str, t: str) -> str:
             t = f"replace(regexp_replace({t}, {_Q('(?i)' + chr(92) + 'b' + word + chr(92) + 'b')}, {_Q(v)}, 'g'), chr(2), '')"
             continue
         flag = "" if kind == "missing-article" else "(?i)"
+        p = p.replace("\\s", f"[{WS}]")
         t = f"regexp_replace({t}, {_Q(flag + p)}, {_Q(v.replace('$', chr(92)))}, 'g')"
     return t
 
@@ -462,6 +482,19 @@ for _k in rewrite.PASSES:
     _rewriter(_k)
 
 
+def _rewritten_sql() -> str:
+    t = "body"
+    for kind in rewrite.PASSES:
+        t = _pass_sql(kind, t)
+    return f"WITH f AS (SELECT doc_id, text, {_FRONT_SQL} AS front FROM documents), b AS (SELECT doc_id, text, front, substr(text, length(front) + 1) AS body FROM f), n AS (SELECT doc_id, text, front, body, {t} AS new FROM b) SELECT doc_id, CASE WHEN new = body THEN text ELSE front || new END AS new_text, new <> body AS changed FROM n"
+
+
+@_query(_rewritten_sql())
+def rewritten_texts(spark, d):
+    """The documents after all passes."""
+    return rewrite.rewrite_documents(_documents(spark, d)).select("doc_id", "new_text", "changed")
+
+
 @_query()
 def rewrite_documents(spark, d):
     return rewrite.rewrite_documents(_documents(spark, d)).select("doc_id", "new_text", "changed", rewrite.change_lines(F.col("changes")).alias("changes"))
@@ -472,7 +505,17 @@ def rewrite_summary(spark, d):
     return rewrite.rewrite_summary(rewrite.rewrite_documents(_documents(spark, d)))
 
 
-@_query()
+_INGEST_SQL = (
+    "WITH t AS (SELECT regexp_replace(text, '^[" + WS + "]+|[" + WS + "]+$', '', 'g') AS text FROM documents), "
+    "u AS (SELECT text, sha256(text) AS sha FROM (SELECT DISTINCT text FROM t WHERE text <> '')), "
+    f"g AS (SELECT text, sha1(unhex('{NS_DOCUMENT}') || encode(sha)) AS h FROM u), "
+    f"i AS (SELECT {_UUID_SQL} AS doc_id, text FROM g), "
+    + segment_sql.sentences("SELECT doc_id, text FROM i", segment.ABBREVIATIONS, "y_")
+    + f", z AS (SELECT *, sha1(unhex('{NS_SENTENCE}') || encode(doc_id || ':' || ordinal)) AS h FROM y_s) SELECT {_UUID_SQL} AS sentence_id, doc_id, ordinal, char_start, char_end FROM z"
+)
+
+
+@_query(_INGEST_SQL)
 def ingest_documents(spark, d):
     """Documents taken into the lake: ids of their sentences, and places."""
     raw = _documents(spark, d).select("text", "source", F.lit(None).cast("string").alias("url"), F.lit(False).alias("is_ai_generated"))
