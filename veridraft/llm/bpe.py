@@ -1,14 +1,17 @@
-"""Encoding of a corpus with a public byte-level BPE vocabulary, by merge replay.
+"""Encoding of a corpus with a public byte-level BPE vocabulary, by corpus-level merge replay.
 
-Words (in the sense of the vocabulary's splitting pattern) are encoded once for each part of the
-corpus: all new distinct words of a batch form one table, an index maps each adjacent token pair
-to the places where it stands, and the merges are applied in rank order to all their places at
-once, touching only the neighbours of merged places. As every word is independent of the others,
-replaying the parts separately gives the same ids as replaying the corpus at once, without a
-shuffle; words met before in the task are looked up.
+1. Texts are cut into words (in the sense of the vocabulary's splitting pattern) once. Blocks of
+   documents become lists of places in a dictionary of the block's distinct words.
+2. The distinct words of the corpus form one table. For the words of a partition of it an index maps
+   each adjacent token pair to the places where it stands, and the merges are applied in rank order
+   to all their places at once, touching only the neighbours of merged places. A word is encoded
+   once, however often and wherever it stands.
+3. The ids go back to the dictionaries of the blocks, and the blocks' documents are put together from
+   them as arrays.
 
 The vocabulary file is read on the driver (its path is a parameter) and broadcast: under 1 MB for
-50,000 tokens, whatever the data.
+50,000 tokens, whatever the data. A word stands once in each dictionary, so the join of step 3 has no
+key with more rows than there are blocks (of some BLOCK_DOCUMENTS documents).
 
 Edge cases: null, empty and blank-only texts: null and empty give an empty list of ids, blanks are
 encoded as blanks; a text of any length is encoded whole; repeated rows give repeated rows.
@@ -27,9 +30,12 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..runtime import cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-KEEP_WORDS = 1_000_000
+BLOCK_DOCUMENTS, BLOCK_WORDS, STEP = 4_000, 2_000_000, 500
 # White_Space of Unicode.
 _SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -70,7 +76,6 @@ class MergeReplay:
         self.of_byte = [ranks[bytes([b])] for b in range(256)]
         self.token = {v: k for k, v in ranks.items()}
         self.merged: dict = {}
-        self.known: dict = {}
 
     def _merge(self, a: int, b: int):
         """Id of the token that a and b make, or None."""
@@ -124,53 +129,106 @@ class MergeReplay:
             at += len(w)
         return out
 
-    def encode_batch(self, texts: list) -> list:
-        """A list of id lists; null and empty texts give empty lists."""
+
+class _Places(dict):
+    """The place of each word in a dictionary that grows as words are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def coded(df: DataFrame, names: list, text: str) -> DataFrame:
+    """block, ``names`` and codes of every row, and a row of block and words (its dictionary) for each block."""
+    kept = df.select(*names).schema
+    schema = "block bigint, " + "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept) + "codes array<int>, words array<binary>"
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 32
         split = split_pattern().findall
-        parts = [split(t) if t else [] for t in texts]
-        new = list(set(itertools.chain.from_iterable(parts)) - self.known.keys())
-        if len(self.known) + len(new) > KEEP_WORDS:
-            self.known = {}
-            new = list(set(itertools.chain.from_iterable(parts)))
-        for a in range(0, len(new), 20_000):
-            some = new[a : a + 20_000]
-            self.known.update(zip(some, self.replay([w.encode("utf-8", "replace") for w in some])))
-        get = self.known.__getitem__
-        return [list(itertools.chain.from_iterable(map(get, p))) for p in parts]
+        places, block = _Places(), 0
+        documents = words_met = 0
+
+        def dictionary(like):
+            words = pa.array([[w.encode("utf-8", "replace") for w in places]], pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([base + block]), *[pa.nulls(1, c.type) for c in like], pa.nulls(1, pa.list_(pa.int32())), words], names=["block", *names, "codes", "words"])
 
+        like = None
+        for batch in batches:
+            like = batch.columns[: len(names)]
+            for a in range(0, batch.num_rows, STEP):
+                part = batch.slice(a, STEP)
+                lists = [split(t) if t else [] for t in part.column(len(names)).to_pylist()]
+                sizes = np.fromiter(map(len, lists), dtype=np.int32, count=len(lists))
+                total = int(sizes.sum())
+                flat = np.fromiter(map(places.__getitem__, itertools.chain.from_iterable(lists)), dtype=np.int32, count=total)
+                codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(lists), base + block)), *part.columns[: len(names)], codes, pa.nulls(len(lists), pa.list_(pa.binary()))], names=["block", *names, "codes", "words"]
+                )
+                documents, words_met = documents + len(lists), words_met + total
+                if documents >= BLOCK_DOCUMENTS or words_met >= BLOCK_WORDS:
+                    yield dictionary(like)
+                    places, block, documents, words_met = _Places(), block + 1, 0, 0
+        if documents:
+            yield dictionary(like)
+
+    return cut(df.select(*names, text).mapInArrow(run, schema))
+
+
+def word_ids(words: DataFrame, held) -> DataFrame:
+    """words: word (distinct). word, ids: the merges of the vocabulary (a broadcast) replayed over the words of a partition."""
+
+    def run(batches):
+        replay = MergeReplay(held.value).replay
+        for batch in batches:
+            ids = replay([w.as_py() for w in batch.column(0)])
+            n = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+            flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(n.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))], names=["word", "ids"])
+
+    return words.mapInArrow(run, "word binary, ids array<int>")
 
-_ENCODERS: dict = {}
 
+def _lists(column) -> tuple:
+    """Flat values and offsets of a list column of a table."""
+    chunk = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(chunk, pa.ChunkedArray):
+        chunk = pa.concat_arrays(chunk.chunks)
+    offsets = chunk.offsets.to_numpy().astype(np.int64)
+    return chunk.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-def _encoder(held) -> MergeReplay:
-    """One encoder for each vocabulary and worker, so what is known outlives a task."""
-    ranks = held.value
-    key = (len(ranks), hash(frozenset(itertools.islice(ranks.items(), 50_000, None))))
-    if key not in _ENCODERS:
-        _ENCODERS[key] = MergeReplay(ranks)
-    return _ENCODERS[key]
+
+def put_together(codes: np.ndarray, at: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+    """Token ids of documents (flat, and where each begins) from codes (flat, documents begin at ``at``) and the ids of each code."""
+    n = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    flat = ids[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
+    return flat, ends[at]
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, lengths_only: bool = False, keep: tuple = ()) -> DataFrame:
     """key and ids (array of int) of every row; with ``lengths_only`` key and n_tokens (int) instead. ``keep``: further columns to pass on."""
     held = df.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
-    name = "n_tokens" if lengths_only else "ids"
-    kind = "int" if lengths_only else "array<int>"
     names = [key, *keep]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema)
-
-    def run(batches):
-        encoder = _encoder(held)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2_000):
-                part = batch.slice(a, 2_000)
-                coded = encoder.encode_batch(part.column(len(names)).to_pylist())
-                n = np.fromiter(map(len, coded), dtype=np.int32, count=len(coded))
-                if lengths_only:
-                    out = pa.array(n)
-                else:
-                    flat = np.fromiter(itertools.chain.from_iterable(coded), dtype=np.int32, count=int(n.sum()))
-                    out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], out], names=[*names, name])
-
-    return df.select(*names, text).mapInArrow(run, f"{schema}, {name} {kind}")
+    blocks = coded(df, names, text)
+    entries = blocks.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
+    encoded = entries.join(word_ids(entries.select("word").distinct(), held), "word").select(F.col("block").alias("of_block"), "place", "ids")
+    documents = blocks.where("words is null").select("block", *names, "codes")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
+
+    def run(docs: pa.Table, dictionary: pa.Table) -> pa.Table:
+        codes, at = _lists(docs.column("codes"))
+        ids, begin = _lists(dictionary.column("ids"))
+        place = dictionary.column("place").to_numpy()
+        starts, sizes = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
+        starts[place], sizes[place] = begin[:-1], np.diff(begin)
+        if lengths_only:
+            ends = np.concatenate([[0], np.cumsum(sizes[codes])])[at]
+            return pa.table([*[docs.column(n) for n in names], pa.array(np.diff(ends).astype(np.int32))], names=[*names, "n_tokens"])
+        flat, ends = put_together(codes, at, ids, starts, sizes)
+        return pa.table([*[docs.column(n) for n in names], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], names=[*names, "ids"])
+
+    return documents.groupBy("block").cogroup(encoded.groupBy("of_block")).applyInArrow(run, f"{kinds}, " + ("n_tokens int" if lengths_only else "ids array<int>"))
