@@ -76,6 +76,8 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     _written.append(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # on any file system, when the driver's JVM ends
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
