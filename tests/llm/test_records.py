@@ -87,6 +87,74 @@ def test_neardup_against_brute_force(spark):
     assert NearDuplicates(df.limit(0), "text", "sentence_id", "doc_id").row_pairs().count() == 0
 
 
+def test_a_hot_band_is_cut_into_blocks(spark, monkeypatch):
+    import functools
+
+    from veridraft.llm import neardup, pairing
+
+    ts = texts(90, seed=8)
+    df = spark.createDataFrame([(f"s{i:03d}", f"d{i}", t) for i, t in enumerate(ts)], "s string, d string, text string")
+    want = {(r.id_a, r.id_b) for r in NearDuplicates(df, "text", "s", "d").row_pairs().collect()}
+    # One key for all rows: every pair meets in one group, far over the bound.
+    monkeypatch.setattr(neardup, "band_keys", lambda signatures, bands, rows: np.zeros((len(signatures), bands), dtype=np.int64))
+    for bound, held in ((16, 64), (16, 10**6), (7, 10)):
+        monkeypatch.setattr(pairing, "HELD", held)
+        monkeypatch.setattr(neardup, "pairs_by_key", functools.partial(pairing.pairs_by_key, bound=bound))
+        assert {(r.id_a, r.id_b) for r in NearDuplicates(df, "text", "s", "d").row_pairs().collect()} == want and want
+
+
+def test_pairs_in_groups():
+    from veridraft.llm import pairing
+
+    rng = np.random.default_rng(3)
+    key, ident = np.sort(rng.integers(0, 40, 300)), rng.integers(0, 200, 300)
+    got = {(int(key[a]), *sorted((int(ident[a]), int(ident[b])))) for x, y in pairing._pairs(key, ident) for a, b in zip(x, y)}
+    assert got == {(int(key[a]), *sorted((int(ident[a]), int(ident[b])))) for a, b in itertools.combinations(range(300), 2) if key[a] == key[b] and ident[a] != ident[b]}
+    one, two = rng.random(300) < 0.3, rng.random(300) < 0.5
+    got = sorted((int(a), int(b)) for x, y in pairing._across(key, one, two) for a, b in zip(x, y))
+    assert got == [(a, b) for a in range(300) for b in range(300) if one[a] and two[b] and key[a] == key[b]]
+
+
+def test_overlap_of_arrays(spark):
+    from veridraft.llm.wordsets import images_of, may_overlap, overlapping
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(200):
+        a = rng.sample(range(-50, 50), rng.randrange(1, 40))
+        b = list(set(rng.sample(a, max(1, len(a) - rng.randrange(0, 4))) + rng.sample(range(-50, 50), rng.randrange(0, 4))))
+        rows.append((i, a, b))
+    df = spark.createDataFrame(rows, "i bigint, a array<int>, b array<int>")
+    want = {i for i, a, b in rows if len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.8}
+    assert {r.i for r in overlapping(df, "a", "b", ["i"]).collect()} == want and want
+    image = lambda x: images_of(np.array(x, dtype=np.int32), np.array([0, len(x)]))
+    assert all(may_overlap(image(a), image(b))[0] for i, a, b in rows if i in want)
+
+
+def test_texts_in_another_order_are_aligned(spark):
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india".split()
+    turned = words[5:] + words[:5]
+    mixed = words[::-1]
+    rows = [(0, "v1", "val", "s", " ".join(turned)), (0, "v2", "test", "s", " ".join(mixed)), (0, "v3", "val", "s", " ".join(words)), (0, "t", "train", "s", " ".join(words)), (1, "v1", "val", "s", " ".join(words))]
+    op = CrossSplitOverlap(spark.createDataFrame(rows, "realm int, rid string, split string, source string, text string"))
+    got = {(r.realm, r.rid): round(r.coverage, 4) for r in op.concerned().collect()}
+    assert got == {(0, "v1"): round(5 / 9, 4), (0, "v2"): round(1 / 9, 4), (0, "v3"): 1.0}
+
+
+def test_recall_of_fingerprints_and_bands_on_given_tables(spark):
+    """Both searches against all pairs, on the smallest given tables."""
+    from veridraft.llm.records import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    intake = {r.doc_id for r in spark.read.parquet(f"{d}/source_document.parquet").where("source = 'field-intake'").collect()}
+    rows = sorted({(r.sentence_id, r.doc_id, r.text) for r in spark.read.parquet(f"{d}/sentence.parquet").select("sentence_id", "doc_id", "text").collect() if r.text and r.doc_id not in intake})
+    sets = [(s, doc, frozenset(word_set(t)), canonical_text(t), len(word_set(t))) for s, doc, t in rows]
+    sets = [x for x in sets if x[4] >= 8]
+    near = {(min(a[0], b[0]), max(a[0], b[0])) for a, b in itertools.combinations(sets, 2) if a[0] != b[0] and a[1] != b[1] and a[3] != b[3] and 5 * len(a[2] & b[2]) >= 4 * len(a[2] | b[2])}
+    got = {(r.sentence_id_a, r.sentence_id_b) for r in QUERIES["p7_found"](spark, d).collect()}
+    assert got <= near and len(got) >= 0.98 * len(near) and near
+
+
 def test_hot_copies_cost_nothing(spark):
     t = "one two three four five six seven eight nine"
     df = spark.range(3000).select(F.concat(F.lit("s"), "id").alias("s"), F.concat(F.lit("d"), "id").alias("d"), F.lit(t).alias("text"))
@@ -161,6 +229,10 @@ def test_grouped_split(spark):
     assert all(len(v) == 1 for v in by_group.values())
     share = {s: len({r.sentence_id for r in out if r.split_name == s}) / 3000 for s in ("train", "val", "test")}
     assert abs(share["train"] - 0.8) < 0.03 and abs(share["val"] - 0.1) < 0.03 and abs(share["test"] - 0.1) < 0.03
+    for lab in "abc":
+        of = {r.sentence_id: r.split_name for r in out}
+        hits = [of[r.sentence_id] for r in labels.where(F.col("trope_id") == lab).collect() if r.sentence_id in of]
+        assert all(abs(hits.count(n) / len(hits) - s) < 0.03 for n, s in (("train", 0.8), ("val", 0.1), ("test", 0.1))), lab
     assert GroupedSplit(sent.limit(0), labels, plan).assignment().count() == 0
 
 

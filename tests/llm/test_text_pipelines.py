@@ -62,16 +62,63 @@ def test_lookalike_forms_and_pairs(spark):
     ],
 )
 def test_units(text, want):
-    assert [text[a:b] for a, b in sentences.cut_block(text)] == want
+    assert [text[a:b] for a, b in sentences.cut_block(text, known_of([text]))] == want
+
+
+def known_of(texts):
+    """What the evidence of one document alone decides, in plain Python."""
+    sums: dict = {}
+    for t in texts:
+        for is_name, word, *counts in sentences.evidence(t):
+            sums[is_name, word] = [a + b for a, b in zip(sums.get((is_name, word), [0, 0, 0]), counts)]
+    told = []
+    for (is_name, word), (yes, no, asked) in sums.items():
+        if asked and yes > 0 and yes >= 2 * no:
+            told.append((is_name, word, True))
+        elif asked and no >= (1 if is_name else 2) and no >= 2 * yes:
+            told.append((is_name, word, False))
+    return sentences.Known(told)
+
+
+def unit_texts(rows, spark):
+    df = spark.createDataFrame([(f"s{i}", d, 0, t) for i, (d, t) in enumerate(rows)], "sentence_id string, doc_id string, char_start int, text string")
+    return [{rows[i][1][r.char_start : r.char_end] for r in sentences.sentence_units(df).collect() if r.sentence_id == f"s{i}"} for i in range(len(rows))]
+
+
+def test_evidence_changes_units(spark):
+    asked = "They met insp. Meier at the gate."
+    # Of the document: elsewhere the word stands before a period that surely ends nothing.
+    for extra, want in (("", {"They met insp.", "Meier at the gate."}), (" The insp. of today and the insp. of old came with Meier.", {asked})):
+        got = unit_texts([("d", asked + extra)], spark)[0]
+        assert want <= got, extra
+    # Of a name: after an abbreviation a word that also stands in lower case begins a sentence, a name does not.
+    common, name = unit_texts([("a", "He saw the kw. of all. Use the kw. Valves are shut. The valves hum."), ("b", "He saw the kw. of all. Use the kw. Valves are shut. Ask the Valves crew, the Valves crew knows.")], spark)
+    assert "Use the kw." in common and "Use the kw. Valves are shut." in name
+    # Against the list: "etc" is listed as closing and "lt" as joining, but here "lt" is a plain word.
+    plain, listed = unit_texts([("a", "The lt is on. The lt was on, the lt glows. We saw the lt. Nobody else did."), ("b", "We saw it lt. Blatt neun.")], spark)
+    assert "We saw the lt." in plain and "We saw it lt. Blatt neun." in listed
+    # Of the corpus: documents that are silent themselves.
+    rows = [(f"d{i}", f"Use the qvt. of bay {i}.") for i in range(8)] + [("x", "Use the qvt. Brenner knows it.")]
+    assert unit_texts(rows, spark)[-1] == {"Use the qvt.", "Brenner knows it."}  # nothing is known of the word after it
+    rows += [(f"n{i}", f"Ask the crew of Brenner in bay {i}.") for i in range(8)]
+    assert unit_texts(rows, spark)[8] == {"Use the qvt. Brenner knows it."}
+
+
+def test_long_words_and_long_blocks():
+    word = "a" * 200
+    text = f"The {word}. of old is shut. See the {word}. Tomas knows. We ask Tomas."
+    assert [text[a:b] for a, b in sentences.cut_block(text, known_of([text]))][1].startswith("See the")
+    long = "One is here. " * 20_000
+    assert len(sentences.cut_block(long, known_of([long]))) == 20_000
 
 
 def test_document_centred(spark):
     rows = [("s1", "d", 10, "Use the xyq. valve now. The xyq. Valve is new."), ("s1", "d", 10, "Use the xyq. valve now. The xyq. Valve is new."), ("s2", "e", None, "One. Two."), ("s3", "e", 5, None), ("s4", "e", 5, "")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "sentence_id string, doc_id string, char_start int, text string, known int")
-    known = {r.doc_id: set(r.known) for r in sentences.abbreviations(df.select("doc_id", "text").where("text <> ''")).collect()}
-    assert known["d"] == {"xyq"}
+    df = spark.createDataFrame([(*r, 1) for r in rows], "sentence_id string, doc_id string, char_start int, text string, told int")
+    told = {r.doc_id: {(x.is_name, x.word, x.yes) for x in r.told} for r in sentences.decisions(df.select("doc_id", "text").where("text <> ''").distinct()).collect()}
+    assert told["d"] == {(False, "xyq", True), (True, "valve", False), (True, "the", False)}
     got = {(r.sentence_id, r.char_start, r.char_end) for r in sentences.sentence_units(df).collect()}
-    assert ("s1", 10, 33) in got and ("s2", 0, 4) in got and ("s2", 5, 9) in got and not any(s in ("s3", "s4") for s, _, _ in got)
+    assert {("s1", 10, 33), ("s1", 34, 42), ("s1", 43, 56), ("s2", 0, 4), ("s2", 5, 9)} == got
     assert sentences.sentence_units(df.limit(0)).count() == 0
 
 
@@ -280,5 +327,14 @@ def test_queries_run(spark):
     import __spark_entry__ as e
 
     q = e.queries()
-    for name in ("p2_found", "p3_found", "p4_found", "p6_found", "p8_ids", "p9_shares", "p10_found"):
-        assert q[name](spark, SF).count() >= 0
+    columns = {
+        "p1_found": "rec_table rec_id", "p2_found": "rec_table id_a id_b", "p3_found": "pair_id defect", "p4_found": "sentence_id char_start char_end", "p5_found": "doc_id group_key", "p6_found": "doc_id",
+        "p7_found": "sentence_id_a sentence_id_b", "p8_ids": "doc_id ids", "p10_found": "doc_id category",
+    }
+    for name, want in columns.items():
+        rows = q[name](spark, SF).toPandas()
+        keys = [c for c in want.split() if c != "ids"]
+        assert list(rows.columns) == want.split() and not rows[keys].isna().any().any() and not rows[keys].duplicated().any(), name
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert q["p8_ids"](spark, SF).count() == docs.count()
+    assert q["p9_shares"](spark, SF).count() >= spark.read.parquet(f"{SF}/mix_target.parquet").count()
