@@ -35,15 +35,16 @@ def mark_sentences(block: Column) -> Column:
 
 def mark_blocks(text: Column) -> Column:
     """Marks around headings and list items and before blank lines (text without fences)."""
-    single = f"{_LS}(?=#{{1,6}}[{WS}]|{_H}(?:[-*+]|[0-9]+[.)])[{WS}])([^{_NL}]+{_EOL})"
-    blank = f"{_LS}({_H}(?:\\r\\n|[{_NL}]))"
+    # A first look at one character spares the look back at most places.
+    single = f"(?=[#\\-*+0-9{WS}]){_LS}(?=#{{1,6}}[{WS}]|{_H}(?:[-*+]|[0-9]+[.)])[{WS}])([^{_NL}]+{_EOL})"
+    blank = f"(?=[{WS}]){_LS}({_H}(?:\\r\\n|[{_NL}]))"
     return F.regexp_replace(F.regexp_replace(text, single, f"{MARK}$1{MARK}"), blank, f"{MARK}$1")
 
 
 def mark_code(text: Column) -> Column:
     """Fenced regions as pieces of their own that begin with CODE; an open fence runs to the end."""
     region = f"{_LS}({_FENCE}(?:\\r\\n|[{_NL}])(?s:.*?){_LS}{_FENCE}{_EOL}|{_FENCE}(?s:.*)\\z)"
-    return F.regexp_replace(text, region, f"{MARK}{CODE}$1{MARK}")
+    return F.when(text.contains("```") | text.contains("~~~"), F.regexp_replace(text, region, f"{MARK}{CODE}$1{MARK}")).otherwise(text)
 
 
 def _split(text: Column) -> Column:
@@ -56,6 +57,11 @@ def pieces(text: Column) -> Column:
     return F.flatten(F.transform(blocks, lambda p: F.when(p.startswith(CODE), F.array(p)).otherwise(_split(mark_sentences(p)))))
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 _PIECE = "array<struct<raw:string,at:int,line:int>>"
 
 
@@ -74,19 +80,19 @@ def _placed(parts: Column) -> Column:
     running sum, the starts within a block another, so no array of the whole document is appended to
     piece by piece.
     """
-    size = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(parts))).cast("int"))
-    # The elements of an array of one struct are read once each in what follows.
+
+    def blocks_of(p: Column) -> Column:
+        size = F.greatest(F.lit(32), F.ceil(F.sqrt(F.size(p))).cast("int"))
+        return _let(size, lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / b).cast("int")), lambda i: F.slice(p, i * b + 1, b)))
+
     cut_up = F.transform(
-        F.transform(F.array(F.struct(parts.alias("p"), size.alias("b"))), lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x["p"]) - 1) / x["b"]).cast("int")), lambda i: F.slice(x["p"], i * x["b"] + 1, x["b"]))),
-        lambda blocks: F.transform(
-            blocks,
-            lambda ps: F.struct(
-                ps.alias("ps"),
-                F.aggregate(ps, F.lit(0), lambda n, p: n + F.length(_body(p))).alias("chars"),
-                F.aggregate(ps, F.lit(0), lambda n, p: n + _breaks(p)).alias("breaks"),
-            ),
+        _let(parts, blocks_of),
+        lambda ps: F.struct(
+            ps.alias("ps"),
+            F.aggregate(ps, F.lit(0), lambda n, p: n + F.length(_body(p))).alias("chars"),
+            F.aggregate(ps, F.lit(0), lambda n, p: n + _breaks(p)).alias("breaks"),
         ),
-    )[0]
+    )
     entry = "array<struct<ps:array<string>,at:int,line:int>>"
     start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.array().cast(entry).alias("out"))
 
