@@ -138,6 +138,8 @@ def test_model_stages(spark, tmp_path):
     scores = scoring.fitted_scores(rows, front, models)
     out = scoring.evaluated(scores, spark.createDataFrame([], "name string, threshold double")).first()
     assert (out.name, out.tp, out.fp, out.fn, out.f1) == ("red", 30, 0, 0, 1.0)
+    stored = scoring.load_models(scoring.save_models(front, models, str(tmp_path / "models")))
+    assert [r.prediction == float(r.red) for r in stored["red"].transform(rows).collect()] == [True] * 60
     vectors = spark.createDataFrame([(i, [1.0, 0.1 * i] if i % 2 else [0.1 * i, -1.0], i % 2 == 1) for i in range(1, 41)], "id int, embedding array<double>, odd boolean")
     head = scoring.fit_head(vectors, ["odd"])
     scoring.save_head(head, str(tmp_path / "head.json"))
@@ -158,3 +160,13 @@ def test_both_plans_of_a_key_list_agree(spark):
     rows = spark.range(100).select((F.col("id") % 20).alias("k"))
     counts = [rows.join(small_or_plain(keys, limit), "k", how).count() for limit in (0, 1000) for how in ("left_semi", "left_anti")]
     assert counts == [50, 50, 50, 50]
+
+
+def test_now_and_change_counts(spark):
+    import datetime
+
+    from veridraft.functions.text import change_count, now_iso
+
+    rows = spark.createDataFrame([("marketing-adj: x → y (12)",), ("a: b (of 3 (4))",), ("plain",), (None,)], "l string").select(change_count(F.col("l")).alias("n"), now_iso().alias("t")).collect()
+    assert [r.n for r in rows] == [12, 4, 1, None]
+    assert abs((datetime.datetime.fromisoformat(rows[0].t) - datetime.datetime.now(datetime.timezone.utc)).total_seconds()) < 300

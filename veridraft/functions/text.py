@@ -80,3 +80,14 @@ def paragraph_texts(c: Column) -> Column:
     chunks = F.transform(F.split(c, f"\\r?\\n[{WS}]*\\r?\\n+"), strip)
     parts = F.flatten(F.transform(chunks, lambda p: F.split(p, f"(?m:^)(?:#{{1,6}}[{WS}]|[-*+][{WS}]|\\d+[.)][{WS}])")))
     return F.filter(F.transform(parts, strip), lambda p: p != "")
+
+
+def now_iso() -> Column:
+    """The time of the query in UTC, ISO 8601 (one value for all rows)."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def change_count(line: Column) -> Column:
+    """Number of places in a line of a change log: the last word within its last parenthesis, 1 without one."""
+    told = F.element_at(F.split(F.regexp_extract(line, "\\(([^(]*?)\\)*\\z", 1), f"[{WS}]+"), -1)
+    return F.when(line.contains("("), told.cast("int")).when(line.isNotNull(), F.lit(1))

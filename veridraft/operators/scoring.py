@@ -134,6 +134,27 @@ def evaluated(scores: DataFrame, thresholds: DataFrame, default: float = 0.5) ->
     return with_f1(counts)
 
 
+def spliced(front, model):
+    """The text stages and a label's model as one pipeline, from texts to probabilities."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel(stages=[*front.stages, model])
+
+
+def save_models(front, models: dict, root: str) -> dict:
+    """The spliced pipelines under ``root``, numbered in the order of their names; the path of each."""
+    paths = {n: f"{root.rstrip('/')}/{i:04d}" for i, n in enumerate(models)}
+    for n, path in paths.items():
+        spliced(front, models[n]).write().overwrite().save(path)
+    return paths
+
+
+def load_models(paths: dict) -> dict:
+    from pyspark.ml import PipelineModel
+
+    return {n: PipelineModel.load(path) for n, path in paths.items()}
+
+
 def greedy_decode(step, start: int, end: int, most: int = 64) -> list:
     """Token ids from ``step(ids)`` (scores of the next token) until ``end`` or ``most`` tokens; the start token is not returned."""
     ids = [start]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import NS_DOCUMENT, NS_SENTENCE, sha256_hex, uuid5
-from ..functions.text import ellipsis, extension, front_matter, line_of, normalize_sentence, rewriter_prompt, strip, strip_front_matter, word_count
+from ..functions.text import ellipsis, extension, front_matter, json_array_slice, line_of, normalize_sentence, relative_path, report_line, rewriter_prompt, score_text, strip, strip_front_matter, word_count
 from ..operators import detect, rewrite, scoring, segment, training
 from ..operators.patterns import DETECTORS, GATE, re2_pattern
 from ..operators.ranking import ranked
@@ -209,6 +209,7 @@ def analogy_stacking(spark, d):
     return detect.analogy_stacking(rows.unionByName(fixture)).select("doc_id", "text")
 
 
+_FRONT = f"regexp_extract(text, '^---[{WS}]*\\n(?s:.*?)\\n---[{WS}]*\\n')"
 _LONG_SQL = "long AS (SELECT s.* FROM s JOIN p ON s.doc_id = p.doc_id AND s.char_start >= p.start AND s.char_start < p.stop JOIN (SELECT s.doc_id, p.paragraph FROM s JOIN p ON s.doc_id = p.doc_id AND s.char_start >= p.start AND s.char_start < p.stop GROUP BY 1, 2 HAVING count(*) > 6) b ON b.doc_id = p.doc_id AND b.paragraph = p.paragraph)"
 _DOCUMENT_SQL = f"{_SEGMENTS_SQL}, {_PARAGRAPHS_SQL}, {_LONG_SQL}"
 
@@ -238,6 +239,60 @@ def gate_findings(spark, d):
     return detect.gate_findings(_documents(spark, d), taxonomy(spark))
 
 
+@_query(
+    _GATE_SQL + " SELECT doc_id, text, char_start, char_end, line, name FROM h WHERE name IN ('Content Duplication', 'Historical Analogy Stacking', 'Long Paragraph')"
+)
+def document_findings(spark, d):
+    """Findings that need the whole document."""
+    return detect.document_findings(_documents(spark, d))
+
+
+@_query(_GATE_SQL + " SELECT violation_name AS name, count(*) AS findings, count(DISTINCT file) AS files FROM found GROUP BY 1")
+def gate_report(spark, d):
+    return detect.report_by_type(detect.gate_findings(_documents(spark, d), taxonomy(spark)), "file", "violation_name").withColumnRenamed("violation_name", "name")
+
+
+@_query(
+    _GATE_SQL
+    + " SELECT file, violation_name, line, char_start, sentence_text, rank, greatest(n - 8, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY file, violation_name ORDER BY line, char_start) AS rank, count(*) OVER (PARTITION BY file, violation_name) AS n FROM found) WHERE rank <= 8"
+)
+def top_gate_hits(spark, d):
+    """The first eight findings of each file and rule, and how many more there are."""
+    found = detect.gate_findings(_documents(spark, d), taxonomy(spark))
+    return detect.top_hits(found, "file", "violation_name", order=("line", "char_start")).select("file", "violation_name", "line", "char_start", "sentence_text", "rank", "more")
+
+
+_THRESHOLDS = {"Contraction Used": 2.0, "Passive Voice": 0.9, "Semicolon Used": 1.5}
+
+
+@_query(_GATE_SQL + " SELECT violation_name, count(*) AS findings FROM found WHERE violation_name NOT IN ('Contraction Used', 'Semicolon Used') GROUP BY 1")
+def gate_with_thresholds(spark, d):
+    """Findings at thresholds of their own for some rules, the default for the rest."""
+    told = spark.createDataFrame(list(_THRESHOLDS.items()), "name string, threshold double")
+    return detect.gate_findings(_documents(spark, d), taxonomy(spark), told).groupBy("violation_name").agg(F.count(F.lit(1)).alias("findings"))
+
+
+_SCAN_SQL = (
+    f"WITH bodies AS (SELECT doc_id, text AS whole, substr(text, length({_FRONT}) + 1) AS text, length({_FRONT}) - length(replace({_FRONT}, chr(10), '')) AS skipped FROM documents WHERE text IS NOT NULL), "
+    + segment_sql.sentences("SELECT doc_id, text FROM bodies", segment.ABBREVIATIONS)
+    + ", "
+    + segment_sql.paragraphs("SELECT doc_id, text FROM bodies")
+    + f", {_LONG_SQL}, hits AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, line, text, {_Q(n)} AS name, left(regexp_extract(text, {_Q(re2_pattern(n))}), 60) AS match FROM s WHERE {_hits_sql(n)}" for n in DETECTORS)
+    + f" UNION ALL SELECT doc_id, line, text, 'Sentence Too Long (descriptive)', {_WORDS_SQL} || ' words' FROM s WHERE {_WORDS_SQL} > 25"
+    + f" UNION ALL SELECT doc_id, line, text, 'Content Duplication', 'verbatim repeat' FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n) AS c FROM (SELECT *, {_NORM_SQL} AS n FROM s) WHERE length(n) >= 25) WHERE c > 1"
+    + f" UNION ALL SELECT doc_id, line, text, 'Historical Analogy Stacking', 'historical analogy' FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM s WHERE {_ANALOGY_SQL}) WHERE c > 1"
+    + " UNION ALL SELECT doc_id, line, text, 'Long Paragraph', 'paragraph >6 sentences' FROM long) "
+    + "SELECT doc_id, name, line, (line + skipped)::INT AS file_line, CASE WHEN length(hits.text) > 120 THEN left(hits.text, 120) || '...' ELSE hits.text END AS sentence, match FROM hits JOIN bodies USING (doc_id)"
+)
+
+
+@_query(_SCAN_SQL)
+def scan_findings_ascii(spark, d):
+    """The scan profile with the patterns' classes in ASCII, as RE2 reads them."""
+    return detect.scan_findings(_documents(spark, d), dialect="re2")
+
+
 @_query()
 def scan_findings(spark, d):
     return detect.scan_findings(_documents(spark, d))
@@ -259,7 +314,7 @@ def gate_status(spark, d):
 
 
 # ---- scalar functions ---------------------------------------------------------------------------
-_FRONT_SQL = f"regexp_extract(text, '^---[{WS}]*\\n(?s:.*?)\\n---[{WS}]*\\n')"
+_FRONT_SQL = _FRONT
 
 
 @_query(
@@ -289,6 +344,28 @@ def document_scalars(spark, d):
     )
 
 
+@_query(
+    "SELECT sentence_id, left(text, 1800) AS scored, len(regexp_extract_all(text, '[.!?](?:[" + WS + "]|$)'))::INT AS rough, 'lake/' || doc_id AS path, "
+    "printf('%s:%d: [%s, %.2f] %s', 'lake/' || doc_id, ordinal, 'x', 0.5::DOUBLE, text) AS report FROM (SELECT DISTINCT sentence_id, doc_id, ordinal, text FROM sentence WHERE text IS NOT NULL AND ordinal IS NOT NULL AND doc_id IS NOT NULL)"
+)
+def report_scalars(spark, d):
+    """What a model scores, a rough count of sentences, a path below a root and a line of a report."""
+    rows = spread(table(spark, d, "sentence").select("sentence_id", "doc_id", "ordinal", "text")).where("text is not null and ordinal is not null and doc_id is not null").distinct()
+    path = relative_path(F.concat(F.lit("/data/lake/"), "doc_id"), "/data")
+    return rows.select("sentence_id", score_text(F.col("text")).alias("scored"), segment.rough_sentence_count(F.col("text")).alias("rough"), path.alias("path"), report_line(path, F.col("ordinal"), F.lit("x"), F.lit(0.5), F.col("text")).alias("report"))
+
+
+_JSON = "'Sure: [{\"positive\": \"' || doc_id || '\", \"rewrite\": \"b\"}, {\"positive\": \"c\", \"rewrite\": \"d\"}] done'"
+
+
+@_query(f"SELECT DISTINCT doc_id, x->>'positive' AS positive, x->>'rewrite' AS rewrite FROM (SELECT doc_id, unnest(from_json(regexp_extract({_JSON}, '(?s)(\\[.*\\])', 1), '[\"JSON\"]')) AS x FROM source_document WHERE doc_id IS NOT NULL)")
+def json_slices(spark, d):
+    """Pairs out of the JSON array within an answer."""
+    answer = F.concat(F.lit('Sure: [{"positive": "'), "doc_id", F.lit('", "rewrite": "b"}, {"positive": "c", "rewrite": "d"}] done'))
+    rows = table(spark, d, "source_document").where("doc_id is not null").select("doc_id").distinct()
+    return rows.select("doc_id", F.explode(json_array_slice(answer)).alias("x")).select("doc_id", "x.*")
+
+
 _UUID_SQL = (
     "substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || translate(substr(h,17,1),'0123456789abcdef','89ab89ab89ab89ab') || substr(h,18,3) || '-' || substr(h,21,12)"
 )
@@ -500,7 +577,28 @@ def rewrite_documents(spark, d):
     return rewrite.rewrite_documents(_documents(spark, d)).select("doc_id", "new_text", "changed", rewrite.change_lines(F.col("changes")).alias("changes"))
 
 
-@_query()
+def _summary_sql() -> str:
+    """The passes rule by rule, each a step that counts the places on the text as the rule finds it."""
+    steps, parts, n = ["r0 AS (SELECT doc_id, substr(text, length(" + _FRONT_SQL + ") + 1) AS t FROM documents WHERE text IS NOT NULL)"], [], 0
+    for kind, rules in rewrite.PASSES.items():
+        for p, v, _ in rules:
+            flag = "" if kind == "missing-article" else "(?i)"
+            guarded = "t"
+            if kind == "contraction":
+                p = "\\b" + p[len("(?<!\\w)") : -len("(?!\\w)")] + "\\b"
+            if "(?!" in p:
+                word, guard = p.split("(?!", 1)
+                word, guard = word.replace("\\b", ""), guard[:-1]
+                guarded = f"regexp_replace(t, {_Q(f'(?i)(' + chr(92) + f'b{word[:-1]})({word[-1]}' + chr(92) + f'b{guard})')}, '\\1' || chr(2) || '\\2', 'g')"
+                p = f"\\b{word}\\b"
+            p, v = _Q(flag + p.replace("\\s", f"[{WS}]")), _Q(v.replace("$", chr(92)))
+            n += 1
+            steps.append(f"r{n} AS MATERIALIZED (SELECT doc_id, replace(regexp_replace(g, {p}, {v}, 'g'), chr(2), '') AS t, len(regexp_extract_all(g, {p})) AS n FROM (SELECT doc_id, {guarded} AS g FROM r{n - 1}))")
+            parts.append(f"SELECT {_Q(kind)} AS type, n FROM r{n} WHERE n > 0")
+    return "WITH " + ", ".join(steps) + " SELECT type, count(*) AS entries, sum(n)::BIGINT AS hits FROM (" + " UNION ALL ".join(parts) + ") GROUP BY type"
+
+
+@_query(_summary_sql())
 def rewrite_summary(spark, d):
     return rewrite.rewrite_summary(rewrite.rewrite_documents(_documents(spark, d)))
 
