@@ -79,7 +79,18 @@ def cut(df: DataFrame, *partition_by: str) -> DataFrame:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # on any file system, when the driver's JVM ends
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a cut table that nothing reads any longer."""
+    path = getattr(table, "_cut_path", None)
+    if path:
+        spark = table.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
