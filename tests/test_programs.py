@@ -170,3 +170,15 @@ def test_now_and_change_counts(spark):
     rows = spark.createDataFrame([("marketing-adj: x → y (12)",), ("a: b (of 3 (4))",), ("plain",), (None,)], "l string").select(change_count(F.col("l")).alias("n"), now_iso().alias("t")).collect()
     assert [r.n for r in rows] == [12, 4, 1, None]
     assert abs((datetime.datetime.fromisoformat(rows[0].t) - datetime.datetime.now(datetime.timezone.utc)).total_seconds()) < 300
+
+
+def test_phrase_model(spark):
+    from veridraft.operators.phrases import changes_of, fit_phrases, phrase_model
+
+    assert changes_of("We utilize the pump prior to work", "We use the pump before work") == [("utilize", "use"), ("prior to", "before")]
+    rows = [(f"We utilize pump {i} prior to work", "Banned Synonym", f"We use pump {i} before work") for i in range(5)] + [(None, "x", "y"), ("a", None, "b"), ("same", "x", "same"), ("rare word", "x", "seldom word")]
+    table = fit_phrases(spark.createDataFrame(rows, "source_text string, trope_name string, target_text string"))
+    assert {(r.name, r.phrase, r.rewrite, r.n) for r in table.collect()} == {("Banned Synonym", "utilize", "use", 5), ("Banned Synonym", "prior to", "before", 5)}
+    df = spark.createDataFrame([("Banned Synonym", "Utilize it prior to lunch."), ("Passive Voice", "Utilize it.")], "name string, text string")
+    assert [r.suggested_rewrite for r in scoring.model_rewrites(df, phrase_model(table)).collect()] == ["Use it before lunch.", "Utilize it."]
+    assert phrase_model(table.limit(0))(["remove x: a b"]) == ["a b"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import NS_DOCUMENT, NS_SENTENCE, sha256_hex, uuid5
 from ..functions.text import ellipsis, extension, front_matter, json_array_slice, line_of, normalize_sentence, relative_path, report_line, rewriter_prompt, score_text, strip, strip_front_matter, word_count
-from ..operators import detect, rewrite, scoring, segment, training
+from ..operators import detect, phrases, rewrite, scoring, segment, training
 from ..operators.patterns import DETECTORS, GATE, re2_pattern
 from ..operators.ranking import ranked
 from ..runtime import once, spread, table
@@ -526,6 +526,12 @@ def model_score_fallback(spark, d):
     return rows.select("sentence_id", F.size("scores").alias("size"), F.aggregate("scores", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+@_query()
+def phrase_table(spark, d):
+    """The rewriter fitted on the pairs: phrases and their rewrites by rule."""
+    return phrases.fit_phrases(table(spark, d, "rewrite_pairs"))
+
+
 # ---- rewriter -----------------------------------------------------------------------------------
 def _pass_sql(kind: str, t: str) -> str:
     """A pass as nested RE2 replacements; look-ahead rules first set a guard into protected places."""
