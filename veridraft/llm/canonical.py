@@ -106,14 +106,14 @@ def in_script(ch: str, script: str, target: str) -> str:
     return latin if target == "L" else FROM_LATIN[target].get(latin, ch)
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=50_000)
 def _letters(word: str) -> tuple:
     """Of a word: the scripts of its characters, its letters and its anchors by script."""
     scripts = tuple(map(script_of, word))
     return scripts, Counter(s for s in scripts if s), Counter(s for c, s in zip(word, scripts) if s and is_anchor(c, s))
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=50_000)
 def _in_one_script(word: str, main: str) -> str:
     """A word in the script that fits it; ``main`` is the script of the text around it."""
     scripts, letters, own = _letters(word)

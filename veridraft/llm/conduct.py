@@ -79,7 +79,7 @@ SEEDS = {
     "sexual": ["Watch free porn tonight.", "They had sex, naked on the bed.", "Nude girls, horny and ready.", "She sucked his cock.", "Big boobs and anal sex.", "He masturbated until he came."],
     "": [
         "The pump runs.", "Stop when the lamp goes out.", "Prüfen Sie die Pumpe.", "You must wear gloves.", "The foreigners fill in a second form.", "Women and men share the room.", "Rats were seen in the store.", "A dead battery can hurt the lamp.",
-        "Kill the process and start it again.", "The sex of the plant is noted.", "With the naked eye you see the crack.", "A useless filter stays out.", "Burn the paper.", "The cock of the barrel drips.",
+        "Kill the lights at ten.", "The sex of the plant is noted.", "The naked branch has no leaves.", "A useless filter stays out.", "Burn the paper.", "The cock of the barrel drips.",
     ],
 }
 
@@ -152,7 +152,7 @@ def _read(token: str) -> tuple:
 class _Reader(dict):
     """Words as meant of tokens, worked out when first met; forgets all when it holds KEPT."""
 
-    KEPT = 300_000
+    KEPT = 200_000
 
     def __missing__(self, token: str) -> str:
         if len(self) >= self.KEPT:

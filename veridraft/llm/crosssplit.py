@@ -25,7 +25,7 @@ from ..runtime import cut, once, small_or_plain
 from .pairing import number_of_parts, pairs_by_key
 from .winnowing import FINGERPRINTS, fingerprints, gram_sketch
 from .wordrows import hashed_words
-from .wordsets import MIN_WORDS, OVERLAP, may_overlap, overlapping
+from .wordsets import MIN_WORDS, OVERLAP, enough, may_overlap
 
 TRAIN, HELD_OUT = "train", ("val", "test")
 
@@ -105,8 +105,7 @@ class CrossSplitOverlap:
             .join(y, F.col("b") == F.col("y.c1"))
             .select("a", "b", "seeds", "aseq", "aset", F.col("y.seq").alias("bseq"), F.col("y.wset").alias("bset"))
         )
-        near = overlapping(both, "aset", "bset", ["a", "b", "seeds", "aseq", "bseq"], overlap)
-        self.pairs = cut(near.mapInArrow(_coverage, "a bigint, b bigint, coverage double"))
+        self.pairs = cut(both.mapInArrow(_coverage(overlap), "a bigint, b bigint, coverage double"))
         #: texts that stand on both sides word for word
         self.equal = texts.where("held and train").select("c1")
 
@@ -127,9 +126,16 @@ def _common_words(a: list, b: list) -> list:
     return [(i, j) for i, w in enumerate(a) for j in places.get(w, ())]
 
 
-def _coverage(batches):
-    for batch in batches:
-        a, b = batch.column("aseq").to_pylist(), batch.column("bseq").to_pylist()
-        seeds = batch.column("seeds").to_pylist()
-        share = [chain_and_extend(x, y, [(s["i"], s["j"]) for s in z] or _common_words(x, y)) / len(x) for x, y, z in zip(a, b, seeds)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], names=["a", "b", "coverage"])
+def _coverage(overlap: float):
+    """A mapInArrow function: the pairs that overlap enough, with the share of a that b covers."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.filter(enough(batch.column("aset"), batch.column("bset"), overlap))
+            a, b, seeds = (batch.column(c).to_pylist() for c in ("aseq", "bseq", "seeds"))
+            share = [chain_and_extend(x, y, [(s["i"], s["j"]) for s in z] or _common_words(x, y)) / len(x) for x, y, z in zip(a, b, seeds)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], names=["a", "b", "coverage"])
+
+    return run

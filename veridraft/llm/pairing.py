@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-BOUND, PART, HELD, CHUNK = 4096, 1 << 20, 1 << 22, 1 << 18
+BOUND, PART, HELD, CHUNK, PACKED = 4096, 1 << 20, 1 << 22, 1 << 17, 1 << 18
+BLOCK_ROWS = 1 << 13  # some 250 KB: larger arrays fragment the heap of the JVM that moves them
 
 
 STEP = 1 << 20  # pairs looked at together
@@ -83,7 +84,7 @@ class Packer:
     def add(self, columns: list):
         self.waiting.append([np.asarray(c, dtype=t) for c, t in zip(columns, self.kinds)])
         self.size += len(columns[0])
-        if self.size >= PART:
+        if self.size >= PACKED:
             yield from self.flush()
 
     def flush(self):
@@ -96,8 +97,8 @@ class Packer:
         order = np.argsort(part, kind="stable")
         columns, part = [c[order] for c in columns], part[order]
         edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-        data = [b"".join(c[i : min(i + CHUNK, b)].tobytes() for c in columns) for a, b in zip(edges, edges[1:]) for i in range(a, b, CHUNK)]
-        where = [part[a] for a, b in zip(edges, edges[1:]) for _ in range(a, b, CHUNK)]
+        data = [b"".join(c[i : min(i + BLOCK_ROWS, b)].tobytes() for c in columns) for a, b in zip(edges, edges[1:]) for i in range(a, b, BLOCK_ROWS)]
+        where = [part[a] for a, b in zip(edges, edges[1:]) for _ in range(a, b, BLOCK_ROWS)]
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
 
 

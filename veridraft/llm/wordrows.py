@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from .canonical import canonical_text
 
-KEPT = 500_000
+KEPT = 200_000
 _WORDS = re.compile(r"[^\W_]+")
 
 

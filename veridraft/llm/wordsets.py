@@ -29,18 +29,21 @@ def common_words(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
     return np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=len(a))
 
 
-def overlapping(df: DataFrame, a: str, b: str, keep: list, t: float = OVERLAP) -> DataFrame:
-    """The columns ``keep`` of the rows whose sets ``a`` and ``b`` (array<int>, distinct) overlap by ``t`` or more: |A and B| (1 + t) >= t (|A| + |B|)."""
+def enough(a: pa.ListArray, b: pa.ListArray, t: float = OVERLAP) -> pa.Array:
+    """Which rows' sets (32-bit hashes, distinct) overlap by ``t`` or more: |A and B| (1 + t) >= t (|A| + |B|)."""
     low = t - 1e-9
+    sizes = np.diff(a.offsets.to_numpy().astype(np.int64)) + np.diff(b.offsets.to_numpy().astype(np.int64))
+    return pa.array(common_words(a, b) * (1 + low) >= sizes * low)
+
+
+def overlapping(df: DataFrame, a: str, b: str, keep: list, t: float = OVERLAP) -> DataFrame:
+    """The columns ``keep`` of the rows whose sets ``a`` and ``b`` (array<int>, distinct) overlap by ``t`` or more."""
     inner = [c for c in df.columns if c in keep or c in (a, b)]
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = batch.column(inner.index(a)), batch.column(inner.index(b))
-            sizes = np.diff(x.offsets.to_numpy().astype(np.int64)) + np.diff(y.offsets.to_numpy().astype(np.int64))
-            yield batch.filter(pa.array(common_words(x, y) * (1 + low) >= sizes * low)).select(keep)
+            if batch.num_rows:
+                yield batch.filter(enough(batch.column(inner.index(a)), batch.column(inner.index(b)), t)).select(keep)
 
     return df.select(*inner).mapInArrow(run, df.select(*keep).schema)
 
