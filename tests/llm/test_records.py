@@ -179,6 +179,72 @@ def test_crosssplit_against_brute_force(spark):
     assert all(0 < r.coverage <= 1 for r in op.concerned().collect())
 
 
+def test_sets_that_overlap_enough_share_a_key():
+    from veridraft.llm import prefixes
+    from veridraft.llm.winnowing import rolling_hashes
+    from veridraft.runtime import sketch_count
+
+    rng = np.random.default_rng(9)
+    sets, near = [], []
+    for n in [*range(1, 45), 50, 55, 60, 63, 64, 70, 79, 130, 159, 160, 170]:
+        for _ in range(12):
+            a = rng.choice(4000, n, replace=False)
+            # the partner: up to what the overlap allows taken from anywhere, or new words put in
+            away, more = rng.integers(0, n // 5 + 1), rng.integers(0, n // 4 + 1)
+            b = np.union1d(rng.permutation(a)[away:], rng.integers(4000, 5000, more))
+            if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b)):
+                near.append((len(sets), len(sets) + 1))
+            sets += [np.sort(a), b]
+    values, offsets = np.concatenate(sets).astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    sketch = np.zeros(2 << 16, dtype=np.int64)
+    h = rolling_hashes(values, 1)
+    np.add.at(sketch, (h >> np.uint64(48)).astype(np.int64), 1)
+    np.add.at(sketch, (h & np.uint64(65535)).astype(np.int64) + 65536, 1)
+    assert (sketch_count(sketch, h.view(np.int64)) > 0).all() and len(near) > 200
+    for few in (0, 0.5, 10, 1e9):
+        row, key = prefixes.set_keys(values, offsets, sketch, len(sets), few=few)
+        of = [set(key[row == i].tolist()) for i in range(len(sets))]
+        assert all(of[i] & of[j] for i, j in near)
+
+
+def test_crosssplit_finds_pairs_without_a_common_run(spark):
+    """Every fourth word differs in place: no run of four words in common, another word set."""
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet".split()
+    moved = [words[i] for i in (3, 0, 7, 4, 1, 8, 5, 2, 9)]
+    rows = [(0, "v", "val", "s", " ".join(moved)), (0, "t", "train", "s", " ".join(words)), (0, "w", "val", "s", " ".join(moved[:7]) + " one two")]
+    op = CrossSplitOverlap(spark.createDataFrame(rows, "realm int, rid string, split string, source string, text string"))
+    assert {r.rid for r in op.concerned().collect()} == {"v"}
+
+
+def test_texts_of_one_template_are_not_all_compared(spark):
+    """Pairs looked at grow with the table, not with its square: each phrase and each noun stands in a fixed share of all texts."""
+    from veridraft.llm import crosssplit, pairing
+
+    rng = random.Random(12)
+    nouns = [f"noun{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    looked = {}
+    for n in (4000, 16000):
+        rows = [(0, f"r{i}", "train" if i % 4 else "val", "s", f"after the {rng.choice(nouns)} set the {rng.choice(nouns)} of the {rng.choice(nouns)} near the {rng.choice(nouns)} to code{rng.randrange(10**6)} by {rng.randrange(9000)} bar and write it down") for i in range(n)]
+        counted = spark.sparkContext.accumulator(0)
+        records = spark.createDataFrame(rows, "realm int, rid string, split string, source string, text string")
+        usual = pairing.pairs_by_key
+
+        def counting(blocks, spec, match, *rest, **more):
+            def told(columns, x, y):
+                counted.add(len(x))
+                return match(columns, x, y)
+
+            return usual(blocks, spec, told, *rest, **more)
+
+        crosssplit.pairs_by_key = counting
+        try:
+            CrossSplitOverlap(records)
+        finally:
+            crosssplit.pairs_by_key = usual
+        looked[n] = counted.value
+    assert looked[16000] <= 8 * max(looked[4000], 16000)
+
+
 def test_report_counts_a_sentence_in_each_of_its_sources(spark, tmp_path):
     from veridraft.llm.records import QUERIES
 

@@ -1,12 +1,13 @@
 """Records held out for evaluation that also stand, word for word or nearly, in the training split.
 
-Winnowing fingerprints of the held-out texts meet those of the training texts in one sorted pass
-(``pairing``, with the lossless bit filter of ``wordsets``, so a phrase of a whole template costs no
-output; a hot fingerprint is cut into blocks); the seeds of each surviving pair are chained in line
-and extended by alignment, which gives the coverage of the held-out record; the overlap of the
-whole word sets decides. Texts of the same words in the same order are one class and cover each
-other wholly. Texts of the same words in another order that share no fingerprint are aligned too,
-seeded by their common words, with one training text of that set.
+The word sets of held-out and training texts meet by keys of their rarest words (``prefixes``: two
+sets that overlap enough always share one, and no group of a key grows with the table while longer
+keys are left) in one sorted pass (``pairing``, with the lossless bit filter of ``wordsets``; a hot
+key is cut into blocks); the overlap of the whole word sets decides. The winnowing fingerprints that
+the two texts of a pair have in common are its seeds, chained in line and extended by alignment,
+which gives the coverage of the held-out record; without one the common words are the seeds. Texts of
+the same words in the same order are one class and cover each other wholly. A text whose words stand
+in training in another order is also aligned by its common words with one training text of that set.
 
 Edge cases: records without split, or whose texts are null, empty or under eight words, are never
 concerned; repeated rows and repeated texts count once (texts are compared as distinct classes);
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, once, small_or_plain
 from .pairing import number_of_parts, pairs_by_key
-from .winnowing import FINGERPRINTS, fingerprints, gram_sketch
+from .prefixes import KEYED, keyed_texts
+from .winnowing import _flat, gram_sketch, select_minima
 from .wordrows import hashed_words
 from .wordsets import MIN_WORDS, OVERLAP, enough, may_overlap
 
@@ -66,20 +68,24 @@ def with_keys(rows: DataFrame) -> DataFrame:
     return sets.withColumns({"k1": F.xxhash64("realm", "wset"), "k2": F.xxhash64("wset", "realm"), "c1": F.xxhash64("realm", "seq")})
 
 
-def seed_pairs(texts: DataFrame, sketch, overlap: float = OVERLAP) -> DataFrame:
-    """texts: c1, realm, train, held, seq. a, b, i, j: places of a common fingerprint of a held-out and a training text of one realm."""
+KEYS = 8  # of a text, as a rule; only the number of parts goes by it
+
+
+def candidate_pairs(texts: DataFrame, overlap: float = OVERLAP) -> DataFrame:
+    """texts: c1, realm, train, held, seq. Distinct a, b: a held-out and a training text of one realm that have a key in common and may overlap enough."""
 
     def sides(columns):
         return (columns[3] & 1).astype(bool), (columns[3] & 2).astype(bool)
 
     def match(columns, x, y):
-        _, c1, image, place = columns
+        _, c1, image, _ = columns
         near = (c1[x] != c1[y]) & may_overlap(image[x], image[y], overlap)
-        x, y = x[near], y[near]
-        return [c1[x], c1[y], place[x] >> 2, place[y] >> 2]
+        return [c1[x[near]], c1[y[near]]]
 
-    parts = number_of_parts(texts, int(sketch.sum()) // 2)
-    return pairs_by_key(fingerprints(texts, sketch, parts), FINGERPRINTS, match, "a bigint, b bigint, i bigint, j bigint", parts, sides=sides)
+    total = texts.count()
+    parts = number_of_parts(texts, KEYS * total)
+    keyed = keyed_texts(texts, gram_sketch(texts, gram=1), total, parts, overlap)
+    return pairs_by_key(keyed, KEYED, match, "a bigint, b bigint", parts, sides=sides).distinct()
 
 
 class CrossSplitOverlap:
@@ -92,20 +98,20 @@ class CrossSplitOverlap:
         #: distinct texts by side; c1 is the key of a text, k1 and k2 of its word set
         self.texts = self.rows.groupBy("c1").agg(*[F.first(c).alias(c) for c in ("realm", "k1", "k2", "seq")], F.bool_or(is_train).alias("train"), F.bool_or(~is_train).alias("held"))
         texts = cut(self.texts)
-        by_mark = seed_pairs(texts, gram_sketch(self.rows), overlap).groupBy("a", "b").agg(F.collect_set(F.struct("i", "j")).alias("seeds"))
+        by_key = candidate_pairs(texts, overlap).withColumn("by_words", F.lit(False))
         sets = texts.groupBy("k1", "k2").agg(F.min(F.when(F.col("train"), F.col("c1"))).alias("b")).where("b is not null")
-        by_set = texts.where("held and not train").join(sets, ["k1", "k2"]).select(F.col("c1").alias("a"), "b", F.array().cast("array<struct<i:bigint,j:bigint>>").alias("seeds"))
-        seeds = cut(by_mark.unionByName(by_set))
-        ends = seeds.select(F.col("a").alias("c1")).unionByName(seeds.select(F.col("b").alias("c1"))).distinct()
+        by_set = texts.where("held and not train").join(sets, ["k1", "k2"]).select(F.col("c1").alias("a"), "b", F.lit(True).alias("by_words"))
+        met_pairs = cut(by_key.unionByName(by_set))
+        ends = met_pairs.select(F.col("a").alias("c1")).unionByName(met_pairs.select(F.col("b").alias("c1"))).distinct()
         met = cut(texts.select("c1", "seq", F.array_distinct("seq").alias("wset")).join(small_or_plain(ends), "c1", "left_semi"))
         x, y = met.alias("x"), met.alias("y")
         both = (
-            seeds.join(x, F.col("a") == F.col("x.c1"))
-            .select("a", "b", "seeds", F.col("x.seq").alias("aseq"), F.col("x.wset").alias("aset"))
+            met_pairs.join(x, F.col("a") == F.col("x.c1"))
+            .select("a", "b", "by_words", F.col("x.seq").alias("aseq"), F.col("x.wset").alias("aset"))
             .join(y, F.col("b") == F.col("y.c1"))
-            .select("a", "b", "seeds", "aseq", "aset", F.col("y.seq").alias("bseq"), F.col("y.wset").alias("bset"))
+            .select("a", "b", "by_words", "aseq", "aset", F.col("y.seq").alias("bseq"), F.col("y.wset").alias("bset"))
         )
-        self.pairs = cut(both.mapInArrow(_coverage(overlap), "a bigint, b bigint, coverage double"))
+        self.pairs = cut(both.mapInArrow(_coverage(overlap, gram_sketch(self.rows)), "a bigint, b bigint, coverage double"))
         #: texts that stand on both sides word for word
         self.equal = texts.where("held and train").select("c1")
 
@@ -126,7 +132,18 @@ def _common_words(a: list, b: list) -> list:
     return [(i, j) for i, w in enumerate(a) for j in places.get(w, ())]
 
 
-def _coverage(overlap: float):
+def _common_marks(a: pa.ListArray, b: pa.ListArray, sketch) -> list:
+    """Seeds of each pair of texts: the places of each common winnowing fingerprint."""
+    seeds: list = [[] for _ in range(len(a))]
+    places: dict = {}
+    for row, j, h in zip(*(x.tolist() for x in select_minima(*_flat(b), sketch))):
+        places.setdefault((row, h), []).append(j)
+    for row, i, h in zip(*(x.tolist() for x in select_minima(*_flat(a), sketch))):
+        seeds[row].extend((i, j) for j in places.get((row, h), ()))
+    return seeds
+
+
+def _coverage(overlap: float, sketch):
     """A mapInArrow function: the pairs that overlap enough, with the share of a that b covers."""
 
     def run(batches):
@@ -134,8 +151,11 @@ def _coverage(overlap: float):
             if not batch.num_rows:
                 continue
             batch = batch.filter(enough(batch.column("aset"), batch.column("bset"), overlap))
-            a, b, seeds = (batch.column(c).to_pylist() for c in ("aseq", "bseq", "seeds"))
-            share = [chain_and_extend(x, y, [(s["i"], s["j"]) for s in z] or _common_words(x, y)) / len(x) for x, y, z in zip(a, b, seeds)]
+            if not batch.num_rows:
+                continue
+            seeds = _common_marks(batch.column("aseq"), batch.column("bseq"), sketch)
+            a, b, by_words = (batch.column(c).to_pylist() for c in ("aseq", "bseq", "by_words"))
+            share = [chain_and_extend(x, y, (not w and z) or _common_words(x, y)) / len(x) for x, y, w, z in zip(a, b, by_words, seeds)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], names=["a", "b", "coverage"])
 
     return run

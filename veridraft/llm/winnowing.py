@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from ..runtime import sketch_count
 from .bagminhash import _mix
-from .pairing import BLOCK, Packer
-from .wordrows import distinct_sorted
-from .wordsets import images_of
 
 GRAM, WINDOW = 2, 3
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -59,7 +56,7 @@ def select_minima(values: np.ndarray, offsets: np.ndarray, sketch, gram: int = G
     return row[chosen], place[chosen], h[chosen].view(np.int64)
 
 
-def gram_sketch(rows: DataFrame, col: str = "seq", bits: int = 16):
+def gram_sketch(rows: DataFrame, col: str = "seq", bits: int = 16, gram: int = GRAM):
     """Count-min sketch of the grams of all rows (see runtime.bucket_counts for layout and bound)."""
     size = 1 << bits
 
@@ -71,7 +68,7 @@ def gram_sketch(rows: DataFrame, col: str = "seq", bits: int = 16):
                 continue
             n = np.diff(offsets)
             row = np.repeat(np.arange(len(n)), n)
-            h = rolling_hashes(values)[(np.arange(len(values)) - offsets[row]) <= n[row] - GRAM]
+            h = rolling_hashes(values, gram)[(np.arange(len(values)) - offsets[row]) <= n[row] - gram]
             total[:size] += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=size)
             total[size:] += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
         slots = np.flatnonzero(total)
@@ -81,28 +78,3 @@ def gram_sketch(rows: DataFrame, col: str = "seq", bits: int = 16):
     for r in rows.select(col).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         out[r.slot] = r.n
     return out
-
-
-FINGERPRINTS = "gram bigint, c1 bigint, image bigint, place bigint"
-
-
-def fingerprints(texts: DataFrame, sketch, parts: int) -> DataFrame:
-    """Packed rows (FINGERPRINTS) of texts (c1, realm, train, held, seq): a selected gram (of its realm), the text, the image of
-    its word set, and four times its place, plus 2 for a training and 1 for a held-out text. Texts have a word at least."""
-    held = texts.sparkSession.sparkContext.broadcast(sketch)  # 1 MB whatever the data
-
-    def run(batches):
-        packer = Packer(["bigint"] * 4, parts)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            c1, realm, train, kept = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
-            values, offsets = _flat(batch.column(4))
-            row, place, h = select_minima(values, offsets, held.value)
-            with np.errstate(over="ignore"):
-                gram = _mix(h.view(np.uint64) + realm[row].view(np.uint64)).view(np.int64)
-            images = images_of(*distinct_sorted(values, offsets))
-            yield from packer.add([gram, c1[row], images[row], place * 4 + (2 * train + kept)[row]])
-        yield from packer.flush()
-
-    return texts.select("c1", "realm", "train", "held", "seq").mapInArrow(run, BLOCK)
